@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .pii import op2_pii_skip_chain
 from .simhash import op4_simhash_pigeonring
+from .token_output import op1_token_files
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_pii_skip_chain": op2_pii_skip_chain,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
 }
 
