@@ -5,10 +5,12 @@ from __future__ import annotations
 from .pii import op2_pii_skip_chain
 from .simhash import op4_simhash_pigeonring
 from .token_output import op1_token_files
+from .toxicity import op3_toxicity_counterfactual
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_pii_skip_chain": op2_pii_skip_chain,
+    "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
 }
 
