@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .pii import op2_pii_skip_chain
+from .quality_rules import OP5_SQL, op5_quality_ledger
 from .simhash import op4_simhash_pigeonring
 from .token_output import op1_token_files
 from .toxicity import op3_toxicity_counterfactual
@@ -12,6 +13,9 @@ QUERIES = {
     "op2_pii_skip_chain": op2_pii_skip_chain,
     "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
+    "op5_quality_ledger": op5_quality_ledger,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_ledger": OP5_SQL,
+}
