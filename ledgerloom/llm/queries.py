@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op7_mix_schedule
 from .pii import op2_pii_skip_chain
 from .quality_rules import OP5_SQL, op5_quality_ledger
 from .simhash import op4_simhash_pigeonring
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op5_quality_ledger": op5_quality_ledger,
+    "op7_mix_schedule": op7_mix_schedule,
 }
 
 ORACLES: dict[str, str] = {
