@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_extract import op8_html_blocks
 from .mixing import op7_mix_schedule
 from .pii import op2_pii_skip_chain
 from .quality_rules import OP5_SQL, op5_quality_ledger
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op5_quality_ledger": op5_quality_ledger,
     "op7_mix_schedule": op7_mix_schedule,
+    "op8_html_blocks": op8_html_blocks,
 }
 
 ORACLES: dict[str, str] = {
