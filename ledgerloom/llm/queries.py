@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_qgram_bands
 from .html_extract import op8_html_blocks
 from .mixing import op7_mix_schedule
 from .pii import op2_pii_skip_chain
+from .quality_prior import op9_quality_bayes
 from .quality_rules import OP5_SQL, op5_quality_ledger
 from .simhash import op4_simhash_pigeonring
 from .token_output import op1_token_files
@@ -18,6 +20,8 @@ QUERIES = {
     "op5_quality_ledger": op5_quality_ledger,
     "op7_mix_schedule": op7_mix_schedule,
     "op8_html_blocks": op8_html_blocks,
+    "op9_quality_bayes": op9_quality_bayes,
+    "op10_qgram_bands": op10_qgram_bands,
 }
 
 ORACLES: dict[str, str] = {
