@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -45,19 +47,24 @@ FORMAT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Pieces kept encoded in a worker; longer ones than PIECE_CHARS are encoded each time.
-CACHED = 300_000
-PIECE_CHARS = 64
+#: Characters of pieces in a generation of those that a worker keeps encoded.
+CACHED_CHARS = 2 << 20
 #: Ids gathered before a batch is handed on.
 BATCH_IDS = 1 << 20
-#: A space between two characters that no Unicode version takes for white space.
-#: Byte-level BPE always starts a new piece there, whatever stands around.
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\A | \Z| \s|\s ")
+#: White space other than spaces and line feeds, in the widest sense of any Unicode version.
+_OTHER = re.compile(r"[\r\t\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
-    """encode(text): the ids as little-endian 32-bit integers, equal to those of the whole text at once."""
+    """encode(text): the ids as little-endian 32-bit integers, equal to those of the whole text at once.
+
+    A single space or line feed between other characters starts a new piece for
+    byte-level BPE, whatever stands around, so such pieces can be encoded apart
+    and remembered: one after a space without it, one after a line feed with it.
+    New ones of a text are encoded in one go, each after a line feed, whose
+    single id then marks where they start. A text with other white space, or
+    with two of them together, is encoded as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,29 +72,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.feed = self._ids("\n")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.chars = 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces)
+        ids = self._ids("".join([p if p[0] == "\n" else "\n " + p for p in new]))
+        starts = np.flatnonzero(ids == self.feed[0])
+        coded, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        for p, a, b in zip(new, bounds[:-1], bounds[1:], strict=True):
+            self.known[p] = coded[a if p[0] == "\n" else a + 4 : b]
+        self.chars += sum(map(len, new))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ") if not _ODD.search(text) else _BREAK.split(text)
-        known = self.known
-        if missing := [p for p in set(rest) if p not in known and len(p) <= PIECE_CHARS]:
-            if len(known) + len(missing) > CACHED:
-                known.clear()
-                missing = [p for p in set(rest) if len(p) <= PIECE_CHARS]
-            known.update(zip(missing, self._ids([" " + p for p in missing]), strict=True))
-        out = self._ids([first]) if first else []
-        out += [known.get(p) or self._ids([" " + p])[0] for p in rest]
-        return b"".join(out)
+        pieces = ("\n" + text.replace("\n", " \n")).split(" ")
+        new = set(pieces).difference(self.known)
+        if new:
+            # These two stand for white space in a run or at an end, and are never learned.
+            if "" in new or "\n" in new or len(self.feed) != 1 or _OTHER.search(" ".join(new)):
+                return self._ids(text).tobytes()
+            if self.chars > CACHED_CHARS:
+                self.before, self.known, self.chars, new = self.known, {}, 0, set(pieces)
+            again = {p for p in new if p in self.before}
+            self.known.update((p, self.before[p]) for p in again)
+            self.chars += sum(map(len, again))
+            if new := new - again:
+                self._learn(new)
+        return b"".join(map(self.known.__getitem__, pieces))[4:]
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder for this file; it lasts over tasks, as this module does not where it is sent by value."""
+    kept = sys.modules.setdefault("_ledgerloom_worker", types.ModuleType("_ledgerloom_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _encoder_batches(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def out(doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
