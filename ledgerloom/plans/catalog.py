@@ -2,5 +2,392 @@
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT, GROUPS, Period
+from ..functions import canon, dates, money
+from ..operators import anomalies, fold, history, normalize, rollups
+from . import feeds
+
+#: Without guards, so that SQL can follow the rules; guarded queries are checked by their row counts and tests.
+OPEN = DEFAULT.with_(enforce_delete_dependencies=False)
+LOCKED = DEFAULT.with_(locked_periods={"*": (Period(datetime.date(2024, 1, 5), datetime.date(2024, 1, 12), "closed"),)})
+MOMENT = datetime.datetime(2024, 1, 8)
+VERSION = 5
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.normalized(feeds.events_feed(spark, d), OPEN)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.first_arrivals(_rows(spark, d).where("accepted"))[0]
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return fold.folded_mixed(_events(spark, d), OPEN)
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return history.native_history(_events(spark, d), OPEN)
+
+
+def _no_delete(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).where("action <> 'delete'")
+
+
+# ---- the same in SQL ----
+
+_FEED = """
+feed AS (
+  SELECT (i * 7919) % 10007 * 1000000000 + i * 2 + c AS seq, 'e' || i AS event_id, user_id::VARCHAR AS user_key, 'T' || (k % 20) AS transaction_id, 't' || (k % 20) AS transaction_key,
+    action, CASE action WHEN 'create' THEN 0 WHEN 'update' THEN 1 ELSE 2 END AS rank, source, role, ts AS event_ts,
+    CASE source WHEN 'user_edit' THEN 100 + CASE WHEN role = 'premium' THEN 10 ELSE 0 END WHEN 'third_party' THEN 50 WHEN 'bank_sync' THEN 10 ELSE 1 END AS authority,
+    currency, CASE WHEN action = 'create' OR (action = 'update' AND i % 3 <> 0) THEN round(value::DECIMAL(18,2) * CASE currency WHEN 'JPY' THEN 1 WHEN 'KWD' THEN 1000 ELSE 100 END, 0)::BIGINT END AS amount_minor,
+    currency = 'JPY' AND (action = 'create' OR (action = 'update' AND i % 3 <> 0)) AND value::DECIMAL(18,2) <> round(value::DECIMAL(18,2), 0) AS rounded,
+    CASE WHEN NOT (action = 'update' AND i % 5 = 0) THEN (ts::DATE + (k % 7)::INTEGER)::DATE END AS date,
+    CASE WHEN i % 4 <> 0 THEN 'C' || (i % 3) END AS category, CASE WHEN i % 4 <> 0 THEN 'M' || (i % 5) END AS merchant,
+    CASE WHEN i % 13 = 0 THEN 'T' || ((k + 1) % 20) END AS parent_transaction_id
+  FROM (
+    SELECT event_id AS i, ts, user_id, value, regexp_extract(props, '[0-9]+')::BIGINT AS k,
+      CASE WHEN event_type IN ('signup', 'purchase') THEN 'create' WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS action,
+      CASE event_id % 4 WHEN 0 THEN 'user_edit' WHEN 1 THEN 'third_party' WHEN 2 THEN 'bank_sync' ELSE 'unknown' END AS source,
+      CASE WHEN event_id % 17 = 0 THEN 'premium' ELSE 'standard' END AS role,
+      CASE event_id % 10 WHEN 0 THEN 'JPY' WHEN 1 THEN 'KWD' ELSE 'USD' END AS currency
+    FROM events
+  ), (VALUES (0), (1)) AS copies(c) WHERE c = 0 OR i % 23 = 0
+), good AS (
+  SELECT * FROM feed WHERE NOT (action = 'update' AND amount_minor IS NULL AND date IS NULL AND category IS NULL AND merchant IS NULL AND parent_transaction_id IS NULL)
+), ev AS (
+  SELECT *, printf('%05d|%s|%d|%s', authority, strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f'), rank, event_id) AS prec,
+    user_key || '/' || transaction_key AS txn
+  FROM good QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1
+)"""
+
+_DATE_PREC = "printf('%05d|%06d|%s', authority, 100000 - (date - DATE '1970-01-01'), prec)"
+_WINNERS = f"""
+    arg_max(amount_minor, prec) FILTER (WHERE amount_minor IS NOT NULL) AS amount_minor,
+    coalesce(arg_max(currency, prec) FILTER (WHERE amount_minor IS NOT NULL), 'USD') AS currency,
+    arg_max(date, {_DATE_PREC}) FILTER (WHERE date IS NOT NULL) AS date,
+    arg_max(category, prec) FILTER (WHERE category IS NOT NULL) AS category,
+    arg_max(merchant, prec) FILTER (WHERE merchant IS NOT NULL) AS merchant,
+    arg_max(parent_transaction_id, prec) FILTER (WHERE parent_transaction_id IS NOT NULL) AS parent_transaction_id,
+    arg_max(event_id, prec) FILTER (WHERE amount_minor IS NOT NULL) AS amount_event,
+    arg_max(event_id, {_DATE_PREC}) FILTER (WHERE date IS NOT NULL) AS date_event,
+    arg_max(event_id, prec) FILTER (WHERE category IS NOT NULL) AS category_event,
+    arg_max(event_id, prec) FILTER (WHERE merchant IS NOT NULL) AS merchant_event,
+    arg_max(event_id, prec) FILTER (WHERE parent_transaction_id IS NOT NULL) AS parent_event"""
+
+
+def _fold_sql(log: str) -> str:
+    """CTEs from a table of events with a group g to ``state``, one row for each g."""
+    return f"""
+t AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_ts, rank, event_id) AS n FROM {log}),
+life AS (
+  SELECT g, 0::BIGINT AS n, false AS ex, false AS del, false AS prov, NULL::VARCHAR AS tomb, false AS blocked FROM (SELECT DISTINCT g FROM t)
+  UNION ALL
+  SELECT t.g, t.n, true, CASE WHEN action = 'delete' THEN true ELSE del AND NOT (tomb IS NULL OR prec > tomb) END,
+    CASE WHEN action = 'create' THEN false WHEN NOT ex THEN true ELSE prov END,
+    CASE WHEN action = 'delete' THEN prec WHEN del AND (tomb IS NULL OR prec > tomb) THEN NULL ELSE tomb END,
+    action = 'update' AND del AND NOT (tomb IS NULL OR prec > tomb)
+  FROM life JOIN t ON t.g = life.g AND t.n = life.n + 1
+), ends AS (
+  SELECT g, arg_max(del, n) AS deleted, arg_max(prov, n) AS provisional, max(n) AS n_events FROM life GROUP BY g
+), won AS (
+  SELECT t.g, any_value(user_key) AS user_key, any_value(transaction_key) AS transaction_key,{_WINNERS}
+  FROM t JOIN life ON t.g = life.g AND t.n = life.n AND NOT blocked GROUP BY t.g
+), state AS (SELECT * FROM won JOIN ends USING (g))"""
+
+
+_FINAL = f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev), {_fold_sql('log')}"
+_PREFIXES = f"""WITH RECURSIVE {_FEED}, log AS (
+  SELECT e.*, e.txn || '@' || a.seq AS g, a.seq AS at_seq FROM ev AS a JOIN ev AS e ON a.txn = e.txn AND e.seq <= a.seq
+), {_fold_sql('log')}, hist AS (
+  SELECT a.seq, a.txn, a.event_id, a.action, a.source, a.event_ts, s.*, 
+    lag(struct_pack(a := s.amount_minor, c := s.currency, d := s.date, g := s.category, m := s.merchant, p := s.parent_transaction_id, x := s.deleted, v := s.provisional)) OVER w AS b
+  FROM ev AS a JOIN state AS s ON s.g = a.txn || '@' || a.seq WINDOW w AS (PARTITION BY a.txn ORDER BY a.seq)
+), h AS (
+  SELECT *, b IS NULL OR struct_pack(a := amount_minor, c := currency, d := date, g := category, m := merchant, p := parent_transaction_id, x := deleted, v := provisional) IS DISTINCT FROM b AS changed FROM hist
+)"""
+
+# ---- normalization ----
+
+
+@_query("feed_normalized", f"WITH {_FEED} SELECT seq, event_id, user_key, transaction_key, action, source, authority, event_ts, currency, amount_minor, date, category, merchant, parent_transaction_id, role FROM good")
+def feed_normalized(spark, d):
+    return _rows(spark, d).where("accepted").select("seq", "event_id", "user_key", "transaction_key", "action", "source", "authority", "event_ts", "currency", "amount_minor", "date", "category", "merchant", "parent_transaction_id", "role")
+
+
+@_query("rejects_by_code", f"WITH {_FEED} SELECT 'E_EMPTY_UPDATE' AS code, 'error' AS severity, count(*) AS n FROM feed WHERE seq NOT IN (SELECT seq FROM good) HAVING count(*) > 0 UNION ALL SELECT 'W_SOURCE_MISSING', 'warning', count(*) FROM feed WHERE source = 'unknown' HAVING count(*) > 0 UNION ALL SELECT 'W_ROUNDED', 'warning', count(*) FROM feed WHERE rounded HAVING count(*) > 0")
+def rejects_by_code(spark, d):
+    return _rows(spark, d).select(F.explode("issues").alias("i")).groupBy("i.code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("dedupe_first_arrival", f"WITH {_FEED} SELECT seq, event_id FROM ev")
+def dedupe_first_arrival(spark, d):
+    return _events(spark, d).select("seq", "event_id")
+
+
+@_query("duplicate_events", f"WITH {_FEED} SELECT seq, event_id, 'ignored' AS decision, 'R1_DUPLICATE_EVENT' AS rule FROM good WHERE seq NOT IN (SELECT seq FROM ev)")
+def duplicate_events(spark, d):
+    dup = normalize.first_arrivals(_rows(spark, d).where("accepted"))[1]
+    return dup.select("seq", "event_id", F.lit("ignored").alias("decision"), F.lit("R1_DUPLICATE_EVENT").alias("rule"))
+
+
+@_query("authority_scores", f"WITH {_FEED} SELECT source, role, authority, count(*) AS n FROM good GROUP BY ALL")
+def authority_scores(spark, d):
+    return _rows(spark, d).where("accepted").groupBy("source", "role", "authority").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- the fold ----
+
+_STATE = "user_key, transaction_key, amount_minor, currency, date, category, merchant, parent_transaction_id, deleted, provisional, n_events"
+_OWNERS = {"amount": "amount_event", "date": "date_event", "category": "category_event", "merchant": "merchant_event", "parent_transaction_id": "parent_event"}
+
+
+def _state_rows(states: DataFrame) -> DataFrame:
+    return states.select(*(c.strip() for c in _STATE.split(",")))
+
+
+@_query("field_winners", f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev WHERE action <> 'delete'), {_fold_sql('log')} SELECT user_key, transaction_key, {', '.join(_OWNERS.values())} FROM state")
+def field_winners(spark, d):
+    return fold.fast_folded(_no_delete(spark, d), OPEN).select("user_key", "transaction_key", *(F.col(f"{g}_owner.event_id").alias(n) for g, n in _OWNERS.items()))
+
+
+@_query("date_winner", f"WITH {_FEED} SELECT user_key, transaction_key, arg_max(date, {_DATE_PREC}) AS date, arg_max(authority, {_DATE_PREC}) AS authority FROM ev WHERE date IS NOT NULL AND action <> 'delete' GROUP BY ALL")
+def date_winner(spark, d):
+    return fold.fast_folded(_no_delete(spark, d).where("date IS NOT NULL"), OPEN).select("user_key", "transaction_key", "date", F.col("date_owner.authority").alias("authority"))
+
+
+@_query("fold_fast_path", f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev WHERE txn NOT IN (SELECT txn FROM ev WHERE action = 'delete')), {_fold_sql('log')} SELECT {_STATE} FROM state")
+def fold_fast_path(spark, d):
+    e = _events(spark, d)
+    deleted = e.where("action = 'delete'").select(*fold.KEYS).distinct()
+    return _state_rows(fold.fast_folded(e.join(deleted, list(fold.KEYS), "left_anti"), OPEN))
+
+
+@_query("fold_with_deletes", f"{_FINAL} SELECT {_STATE} FROM state")
+def fold_with_deletes(spark, d):
+    return _state_rows(fold.folded(_events(spark, d), OPEN))
+
+
+@_query("fold_mixed", f"{_FINAL} SELECT {_STATE} FROM state")
+def fold_mixed(spark, d):
+    return _state_rows(_states(spark, d))
+
+
+@_query("orders_states", "SELECT o_custkey::VARCHAR AS user_key, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, sum(round(o_totalprice::DECIMAL(18,2) * 100, 0)::BIGINT)::BIGINT AS net_minor FROM orders GROUP BY ALL")
+def orders_states(spark, d):
+    states = fold.fast_folded(normalize.first_arrivals(normalize.normalized(feeds.orders_feed(spark, d), OPEN).where("accepted"))[0], OPEN)
+    return states.groupBy("user_key", F.trunc("date", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("net_minor"))
+
+
+@_query("guarded_states")
+def guarded_states(spark, d):
+    return _state_rows(history.final_states(_events(spark, d), DEFAULT))
+
+
+@_query("locked_period_blocks", f"WITH {_FEED}, one AS (SELECT *, row_number() OVER (PARTITION BY txn ORDER BY event_ts, rank, event_id) AS n, count(*) FILTER (WHERE action = 'delete') OVER (PARTITION BY txn) AS dels FROM ev), x AS (SELECT a.event_id, a.seq, arg_max(b.date, printf('%05d|%06d|%s', b.authority, 100000 - (b.date - DATE '1970-01-01'), b.prec)) AS held FROM one a JOIN one b ON a.txn = b.txn AND b.n < a.n AND b.date IS NOT NULL WHERE a.action = 'delete' AND a.dels = 1 GROUP BY ALL) SELECT event_id, seq, held FROM x WHERE held BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def locked_period_blocks(spark, d):
+    """Deletes that a locked period refuses, in logs with one delete (before it nothing is blocked)."""
+    e = _events(spark, d)
+    one = e.groupBy(*fold.KEYS).agg(F.count_if(F.col("action") == "delete").alias("n")).where("n = 1").select(*fold.KEYS)
+    logs = e.join(one, list(fold.KEYS), "left_semi").withColumn("parent_transaction_id", F.lit(None).cast("string"))
+    log = logs.groupBy(*fold.KEYS).agg(F.array_sort(F.collect_list(fold.log_entry())).alias("log"))
+    log = log.withColumn("del", F.filter("log", lambda x: x["rank"] == 2)[0])
+    log = log.withColumn("upto", F.filter("log", lambda x: F.struct(x["event_ts"], x["rank"], x["event_id"]) < F.struct(F.col("del.event_ts"), F.col("del.rank"), F.col("del.event_id"))))
+    both = log.withColumns({"held": fold.fold_log(F.col("upto"), F.col("user_key"), LOCKED)["date"], "all": fold.fold_log(F.col("log"), F.col("user_key"), LOCKED, F.col("del.event_id"))})
+    return both.where(F.col("all.blocked") == "delete_blocked_by_dependencies").select("del.event_id", "del.seq", "held")
+
+
+@_query("tie_conflicts", f"WITH {_FEED}, x AS (SELECT *, lag(prec) OVER w AS p0 FROM ev WHERE false WINDOW w AS (PARTITION BY txn ORDER BY seq)) SELECT NULL::VARCHAR AS type, NULL::VARCHAR AS field, 0::BIGINT AS n WHERE EXISTS (SELECT 1 FROM x) OR EXISTS (SELECT 1 FROM (SELECT txn, authority, event_ts FROM ev GROUP BY ALL HAVING count(*) > 1))")
+def tie_conflicts(spark, d):
+    return fold.folded(_events(spark, d), OPEN).select(F.explode("conflicts").alias("c")).where("c.type = 'authority_tie'").groupBy("c.type", "c.field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("currency_mismatch", f"""WITH {_FEED}, x AS (
+  SELECT a.event_id, a.txn, a.currency AS incoming, a.amount_minor, arg_max(b.currency, b.prec) AS existing, arg_max(b.amount_minor, b.prec) AS held
+  FROM ev a JOIN ev b ON a.txn = b.txn AND (b.event_ts, b.rank, b.event_id) < (a.event_ts, a.rank, a.event_id) AND b.amount_minor IS NOT NULL
+  WHERE a.amount_minor IS NOT NULL AND a.txn NOT IN (SELECT txn FROM ev WHERE action = 'delete') GROUP BY ALL)
+SELECT event_id, existing || '|' || incoming AS detail FROM x WHERE existing <> incoming AND held <> amount_minor""")
+def currency_mismatch(spark, d):
+    e = _events(spark, d)
+    deleted = e.where("action = 'delete'").select(*fold.KEYS).distinct()
+    return fold.folded(e.join(deleted, list(fold.KEYS), "left_anti"), OPEN).select(F.explode("conflicts").alias("c")).where("c.type = 'currency_mismatch'").select("c.event_id", "c.detail")
+
+
+# ---- arrivals ----
+
+
+@_query("late_events", f"WITH {_FEED} SELECT seq, event_id FROM (SELECT *, max(struct_pack(t := event_ts, r := rank, i := event_id)) OVER (PARTITION BY txn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ev) WHERE struct_pack(t := event_ts, r := rank, i := event_id) < top")
+def late_events(spark, d):
+    return _history(spark, d).where("is_late").select("seq", "event_id")
+
+
+@_query("txn_versions", f"{_PREFIXES} SELECT seq, event_id, sum(changed::BIGINT) OVER (PARTITION BY txn ORDER BY seq)::BIGINT AS txn_version, sum(changed::BIGINT) OVER (PARTITION BY user_key ORDER BY seq)::BIGINT AS user_version FROM h")
+def txn_versions(spark, d):
+    return _history(spark, d).select("seq", "event_id", "txn_version", "user_version")
+
+
+_OP = "CASE WHEN b IS NULL THEN 'created' WHEN NOT b.x AND deleted THEN 'deleted' WHEN b.x AND NOT deleted THEN 'restored' WHEN changed THEN 'updated' ELSE 'none' END"
+
+
+@_query("change_ops", f"{_PREFIXES} SELECT action, {_OP} AS op, count(*) AS n FROM h GROUP BY ALL")
+def change_ops(spark, d):
+    return _history(spark, d).groupBy("action", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("decision_counts")
+def decision_counts(spark, d):
+    return history.history(_events(spark, d), DEFAULT).groupBy("decision", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("reason_counts")
+def reason_counts(spark, d):
+    return _history(spark, d).select(F.explode(F.split("reason", ";")).alias("r")).groupBy(F.substring_index("r", ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- rollups ----
+
+_PRICED = "FROM state WHERE NOT deleted AND amount_minor IS NOT NULL"
+
+
+@_query("rollup_currency", f"{_FINAL} SELECT user_key, currency, sum(amount_minor)::BIGINT AS net_minor, coalesce(sum(amount_minor) FILTER (WHERE amount_minor >= 0), 0)::BIGINT AS inflow_minor, coalesce(sum(amount_minor) FILTER (WHERE amount_minor < 0), 0)::BIGINT AS outflow_minor, count(*) AS n_transactions {_PRICED} GROUP BY ALL")
+def rollup_currency(spark, d):
+    return rollups.by_currency(_states(spark, d))
+
+
+@_query("rollup_month", f"{_FINAL} SELECT user_key, coalesce(strftime(date, '%Y-%m'), 'undated') AS month, currency, sum(amount_minor)::BIGINT AS net_minor {_PRICED} GROUP BY ALL")
+def rollup_month(spark, d):
+    return rollups.by_month(_states(spark, d))
+
+
+@_query("rollup_category", f"{_FINAL} SELECT user_key, coalesce(category, 'uncategorized') AS category, currency, sum(amount_minor)::BIGINT AS net_minor {_PRICED} GROUP BY ALL")
+def rollup_category(spark, d):
+    return rollups.by_category(_states(spark, d))
+
+
+@_query("rollup_sets", f"{_FINAL}, x AS (SELECT user_key, currency, coalesce(strftime(date, '%Y-%m'), 'undated') AS month, coalesce(category, 'uncategorized') AS category, amount_minor {_PRICED}) SELECT CASE grouping(month, category) WHEN 3 THEN 'currency' WHEN 1 THEN 'month' ELSE 'category' END AS level, user_key, currency, month, category, sum(amount_minor)::BIGINT AS net_minor, count(*) AS n_transactions FROM x GROUP BY GROUPING SETS ((user_key, currency), (user_key, currency, month), (user_key, currency, category))")
+def rollup_sets(spark, d):
+    return rollups.all_sets(_states(spark, d))
+
+
+@_query("lifecycle_counts", f"{_FINAL} SELECT user_key, count(*) FILTER (WHERE NOT deleted) AS n_live, count(*) FILTER (WHERE deleted) AS n_deleted, count(*) FILTER (WHERE NOT deleted AND provisional) AS n_provisional, count(*) FILTER (WHERE NOT deleted AND amount_minor IS NULL) AS n_unpriced FROM state GROUP BY user_key")
+def lifecycle_counts(spark, d):
+    return rollups.lifecycle_counts(_states(spark, d))
+
+
+@_query("book_totals", f"{_FINAL} SELECT count(DISTINCT user_key) AS n_users, count(*) AS n_transactions, count(*) FILTER (WHERE NOT deleted) AS n_live, sum(n_events)::BIGINT AS n_events, 0::BIGINT AS n_conflicts FROM state")
+def book_totals(spark, d):
+    return rollups.book_totals(_states(spark, d))
+
+
+@_query("near_duplicates", f"{_FINAL} SELECT a.user_key, a.transaction_key, a.amount_minor, a.date, a.currency, count(*) AS match_count FROM state a JOIN state b ON a.user_key = b.user_key AND a.amount_minor = b.amount_minor AND a.date = b.date AND a.currency = b.currency AND a.transaction_key <> b.transaction_key WHERE NOT a.deleted AND NOT b.deleted GROUP BY ALL")
+def near_duplicates(spark, d):
+    return rollups.near_duplicates(_states(spark, d)).drop("matches")
+
+
+@_query("live_children", f"{_FINAL} SELECT s.user_key, s.transaction_key, count(*) AS n_children, string_agg('T' || substr(c.transaction_key, 2), ',' ORDER BY 'T' || substr(c.transaction_key, 2)) AS children FROM state s JOIN state c ON s.user_key = c.user_key AND lower(c.parent_transaction_id) = s.transaction_key AND NOT c.deleted GROUP BY ALL")
+def live_children(spark, d):
+    return rollups.live_children(_states(spark, d), OPEN)
+
+
+# ---- other moments ----
+
+
+@_query("state_as_of", f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev WHERE event_ts <= TIMESTAMP '2024-01-08 00:00:00'), {_fold_sql('log')} SELECT {_STATE} FROM state")
+def state_as_of(spark, d):
+    return _state_rows(rollups.as_of(_events(spark, d), MOMENT, OPEN))
+
+
+@_query("state_at_version", f"""{_PREFIXES}, v AS (SELECT user_key, seq, sum(changed::BIGINT) OVER (PARTITION BY user_key ORDER BY seq) AS version FROM h), stop AS (SELECT user_key, min(seq) AS seq FROM v WHERE version >= {VERSION} GROUP BY user_key),
+last AS (SELECT h.txn, max(h.seq) AS seq FROM h LEFT JOIN stop ON h.user_key = stop.user_key WHERE stop.seq IS NULL OR h.seq <= stop.seq GROUP BY h.txn)
+SELECT {_STATE} FROM h SEMI JOIN last ON h.txn = last.txn AND h.seq = last.seq""")
+def state_at_version(spark, d):
+    events = _events(spark, d)
+    return _state_rows(rollups.at_version(events, history.native_history(events, OPEN), VERSION, OPEN))
+
+
+# ---- anomalies ----
+
+
+def _flag_rows(spark, d, code: str) -> DataFrame:
+    h = _history(spark, d)
+    near = anomalies.near_duplicates_at(h) if code == "A_NEAR_DUPLICATE" else None
+    return anomalies.flagged(h, OPEN, near).select("seq", "event_id", F.explode("anomalies").alias("a")).where(F.col("a.code") == code).select("seq", "event_id", "a.severity")
+
+
+_ANOMALIES = {
+    "amount_jump": ("A_AMOUNT_JUMP", "CASE WHEN abs(amount_minor - b.a) >= 100000 AND b.a <> 0 AND abs(amount_minor - b.a) * 100 >= abs(b.a) * 300 THEN 'high' ELSE 'medium' END", "b.a <> amount_minor AND (abs(amount_minor - b.a) >= 100000 OR (b.a <> 0 AND abs(amount_minor - b.a) * 100 >= abs(b.a) * 300))"),
+    "sign_flip": ("A_SIGN_FLIP", "'high'", "b.a <> amount_minor AND (b.a < 0) <> (amount_minor < 0)"),
+    "date_shift": ("A_RETRO_DATE_SHIFT", "CASE WHEN abs(date - b.d) > 360 THEN 'high' ELSE 'medium' END", "abs(date - b.d) > 90"),
+    "currency_change": ("A_CURRENCY_CHANGE", "'high'", "b.c <> currency"),
+    "stale_delete": ("A_STALE_DELETE", "'medium'", "action = 'delete' AND NOT b.x AND deleted AND event_ts::DATE - b.d > 365"),
+    "edit_churn": ("A_EDIT_CHURN", "CASE WHEN n_events <= 10 THEN 'low' ELSE 'medium' END", "n_events > 5"),
+    "round_amount": ("A_ROUND_LARGE_AMOUNT", "'low'", "action <> 'delete' AND abs(amount_minor) >= 1000000 AND abs(amount_minor) % 100000 = 0"),
+    "near_duplicate": ("A_NEAR_DUPLICATE", "'medium'", "NOT deleted AND EXISTS (SELECT 1 FROM h AS o WHERE o.user_key = h.user_key AND o.txn <> h.txn AND o.seq < h.seq AND NOT o.deleted AND o.amount_minor = h.amount_minor AND o.date = h.date AND o.currency = h.currency AND NOT EXISTS (SELECT 1 FROM h AS n WHERE n.txn = o.txn AND n.seq > o.seq AND n.seq < h.seq))"),
+}
+for _name, (_code, _severity, _where) in _ANOMALIES.items():
+    _query(f"anomaly_{_name}", f"{_PREFIXES} SELECT seq, event_id, {_severity} AS severity FROM h WHERE {_where}")(lambda spark, d, code=_code: _flag_rows(spark, d, code))
+
+
+@_query("anomaly_contradiction")
+def anomaly_contradiction(spark, d):
+    return _flag_rows(spark, d, "A_LOW_AUTHORITY_CONTRADICTION")
+
+
+# ---- scalars ----
+
+
+@_query("amount_roundtrip", "SELECT o_orderkey, round(o_totalprice::DECIMAL(18,2) * 100, 0)::BIGINT AS minor, o_totalprice::DECIMAL(18,2)::VARCHAR AS shown FROM orders")
+def amount_roundtrip(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("t"))
+    minor = money.parse_amount(F.concat(F.lit("$"), F.col("t")), F.lit("USD"))["minor"]
+    return o.withColumn("minor", minor).select("o_orderkey", "minor", money.format_amount(F.col("minor"), F.lit("USD")).alias("shown"))
+
+
+@_query("date_formats", "SELECT o_orderkey, o_orderdate::DATE AS parsed, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'W_DATE_ALT_FORMAT' END AS warning FROM orders")
+def date_formats(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
+    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd-MMM-yyyy", "MMMM d, yyyy"]
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(formats):
+        text = F.when(F.col("o_orderkey") % 5 == i, F.date_format("o_orderdate", f)).otherwise(text)
+    return o.withColumn("p", dates.parse_date(text)).select("o_orderkey", F.col("p.value").alias("parsed"), F.col("p.warning").alias("warning"))
+
+
+@_query("ts_formats", "SELECT o_orderkey, date_trunc('second', o_orderdate) AS parsed, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS shown FROM orders")
+def ts_formats(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.date_trunc("second", "o_orderdate").alias("at"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.unix_timestamp("at").cast("string")).when(F.col("o_orderkey") % 3 == 1, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+    return o.withColumn("parsed", dates.parse_timestamp(text)["value"]).select("o_orderkey", "parsed", dates.format_ts(F.col("parsed")).alias("shown"))
+
+
+@_query("stable_ids", "SELECT o_orderkey, 'syn-' || substr(sha256('[\"' || o_custkey || '\",\"' || strftime(o_orderdate, '%Y-%m-%d') || '\",' || round(o_totalprice::DECIMAL(18,2) * 100, 0)::BIGINT || ',\"\"]'), 1, 16) AS surrogate FROM orders")
+def stable_ids(spark, d):
+    rows = feeds.orders_feed(spark, d)
+    made = normalize.normalized(rows.withColumn("transaction_id", F.lit(None).cast("string")), OPEN)
+    return made.select(F.col("seq").alias("o_orderkey"), F.col("transaction_id").alias("surrogate"))
+
+
+@_query("state_hash")
+def state_hash(spark, d):
+    return rollups.state_hashes(_states(spark, d).where(F.col("account_id").isNull()))
+
+
+__all__ = ["GROUPS", "ORACLES", "QUERIES", "canon"]
