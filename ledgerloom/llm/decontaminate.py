@@ -117,26 +117,41 @@ class Index:
 
 def align(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best alignment of the whole item on the diagonals first to last, or None beyond k edits."""
+    low, high = max(first, 0), min(last - 1, len(text) - len(item))
+    if low <= high:
+        # No alignment is better than an equal passage.
+        wanted, there, at = item.tobytes(), text[low : high + len(item)].tobytes(), -1
+        while (at := there.find(wanted, at + 1)) >= 0:
+            if at % 4 == 0:
+                return low + at // 4, low + at // 4 + len(item), 0
     width = last - first
     d = np.arange(first, last)
     far = len(item) + width + 1
+    # padded[i + j]: the character on diagonal j against item[i]; beyond the text none is equal.
+    padded = np.full(len(item) + width, -1, dtype=np.int64)
+    a, b = max(first, 0), min(len(text), first + len(padded))
+    if a < b:
+        padded[a - first : b - first] = text[a:b]
     # cost[j]: fewest edits of item[:i] against text up to i + first + j; began[j]: where that text starts.
     cost = np.where((d >= 0) & (d <= len(text)), 0, far)
     began = d.copy()
     steps = np.arange(width)
-    for i, ch in enumerate(item):
-        p = i + d
-        inside = (p >= 0) & (p < len(text))
-        sub = np.where(inside, cost + (text[np.clip(p, 0, len(text) - 1)] != ch), far)
+    up_cost, up_began = np.full(width, far), np.zeros(width, dtype=np.int64)
+    for i, ch in enumerate(item.tolist()):
+        here = padded[i : i + width]
+        sub = cost + (here != ch)
+        sub[here < 0] = far
         # Leaving out the item's character keeps the place in the text: one diagonal down.
-        drop = np.r_[cost[1:], far] + 1
-        new, came = np.where(sub <= drop, sub, drop), np.where(sub <= drop, began, np.r_[began[1:], 0])
+        up_cost[:-1], up_began[:-1] = cost[1:] + 1, began[1:]
+        new, came = np.minimum(sub, up_cost), np.where(sub <= up_cost, began, up_began)
         # An extra character of the text: one diagonal up, from the best one below.
         slack = new - steps
         best = np.minimum.accumulate(slack)
         source = np.maximum.accumulate(np.where(slack == best, steps, 0))
         cost, began = best + steps, came[source]
-        cost = np.where((p + 1 >= 0) & (p + 1 <= len(text)), cost, far)
+        if i + 1 + last > len(text) or i + 1 + first < 0:
+            place = i + 1 + d
+            cost[(place < 0) | (place > len(text))] = far
         if cost.min() > k:
             return None
     j = int(cost.argmin())
