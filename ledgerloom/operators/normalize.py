@@ -162,14 +162,18 @@ def normalized(rows: DataFrame, rules: Rules = DEFAULT, full_unicode: bool = Fal
     )
     errors = F.exists("issues", lambda i: i["severity"] == "error")
     flags = F.array_compact(F.array(F.when(F.col("_inferred"), F.lit("ts_inferred")), F.when(F.col("_made"), F.lit("id_synthesized")), F.when(F.col("_event_id").isNull(), F.lit("event_id_derived"))))
-    return df.select(
-        "seq", "origin", F.coalesce("_event_id", derived).alias("event_id"), F.col("_user_id").alias("user_id"), "user_key", F.col("_txn").alias("transaction_id"), "transaction_key",
+    out = [
+                F.col("seq").alias("seq"), F.col("origin").alias("origin"), F.coalesce("_event_id", derived).alias("event_id"), F.col("_user_id").alias("user_id"), F.col("user_key").alias("user_key"), F.col("_txn").alias("transaction_id"), F.col("transaction_key").alias("transaction_key"),
         F.col("_act").alias("action"), F.col("_source_name").alias("source"), F.coalesce("_source", F.lit("")).alias("source_raw"), F.col("_ts").alias("event_ts"), F.col("_currency").alias("currency"),
-        "amount_minor", F.col("_date").alias("date"), *(F.col("_" + g).alias(g) for g in GROUPS[2:]), F.col("_parent_key").alias("parent_key"), "supplied",
+        F.col("amount_minor").alias("amount_minor"), F.col("_date").alias("date"), *(F.col("_" + g).alias(g) for g in GROUPS[2:]), F.col("_parent_key").alias("parent_key"), F.col("supplied").alias("supplied"),
         F.col("_role_name").alias("role"), authority(F.col("_source_name"), F.col("_role_name"), rules).alias("authority"),
-        F.transform(F.filter("issues", lambda i: i["severity"] == "warning"), lambda i: i["code"]).alias("warnings"), flags.alias("flags"), "issues", (~errors).alias("accepted"),
-        *([F.col("extra")] if "extra" in rows.columns else []),
-    )
+        F.transform(F.filter("issues", lambda i: i["severity"] == "warning"), lambda i: i["code"]).alias("warnings"), flags.alias("flags"), F.col("issues").alias("issues"), (~errors).alias("accepted"),
+        *([F.col("extra").alias("extra")] if "extra" in rows.columns else []),
+    ]
+    # A generator of one row: filters on ``accepted`` stay above it, where the optimizer would
+    # otherwise write the whole of the parsing into them, once for each place that uses it.
+    names = ["seq", "origin", "event_id", "user_id", "user_key", "transaction_id", "transaction_key", "action", "source", "source_raw", "event_ts", "currency", "amount_minor", "date", *GROUPS[2:], "parent_key", "supplied", "role", "authority", "warnings", "flags", "issues", "accepted"]
+    return df.select(F.stack(F.lit(1), *out).alias(*names, *(["extra"] if "extra" in rows.columns else [])))
 
 
 def rejection_id(raw: Column) -> Column:
