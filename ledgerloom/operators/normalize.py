@@ -66,7 +66,8 @@ def remap_maps(df: DataFrame, data: str = "data") -> DataFrame:
     names = literal_map(_CANONICAL)
     pairs = F.transform(F.map_entries(data), lambda e: F.struct(F.element_at(names, slugged(e["key"])).alias("name"), e["key"].alias("key"), e["value"].alias("value")))
     df = df.withColumn("__pairs", pairs)
-    values = [F.get(F.filter("__pairs", lambda e, f=f: e["name"] == f), F.lit(0))["value"].alias(f) for f in FIELDS]
+    value_of = lambda f: F.get(F.filter("__pairs", lambda e: e["name"] == F.lit(f)), F.lit(0))["value"].alias(f)
+    values = [value_of(f) for f in FIELDS]
     extra = F.map_from_entries(F.transform(F.filter("__pairs", lambda e: e["name"].isNull()), lambda e: F.struct(e["key"], e["value"])))
     return df.select("seq", "origin", *values, extra.alias("extra"))
 
