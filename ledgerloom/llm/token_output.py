@@ -48,7 +48,7 @@ FORMAT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Characters of pieces in a generation of those that a worker keeps encoded.
-CACHED_CHARS = 2 << 20
+CACHED_CHARS = 6 << 20
 #: Ids gathered before a batch is handed on.
 BATCH_IDS = 1 << 20
 #: White space other than spaces and line feeds, in the widest sense of any Unicode version.
