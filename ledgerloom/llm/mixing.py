@@ -19,6 +19,8 @@ source, the last; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ SLOTS = 1 << 16
 LEAST_BLOCK, MOST_BLOCK = 16, 1 << 20
 #: Fraction of the golden ratio; 53 bits are exact in a double.
 PHI = 0.6180339887498949
-#: Slots or documents ranked in one part.
+#: Slots or blocks ranked in one part.
 PART = 1 << 14
 
 
@@ -97,8 +99,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Schedule:
     block = min(max(total // SLOTS, LEAST_BLOCK), MOST_BLOCK)
     table_ = _literal_table(spark, sources, block)
 
-    # Streams: parts of hash order, so many that each holds about PART documents.
-    parts = max(1, sum(v[1] for v in sizes.values()) // PART)
+    # Streams: parts of hash order, as many as a part holds documents, so that neither level grows faster than the root.
+    parts = max(1, math.isqrt(sum(v[1] for v in sizes.values())))
     rows = rows.join(F.broadcast(table_.select("sid", F.col("source").alias("__source"))), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     part = F.shiftrightunsigned("h", 33) * F.lit(parts) / F.lit(1 << 31)
     # Unsigned order of the hash: its upper 31 bits are the part's, the whole of it the place within.
