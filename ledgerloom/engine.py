@@ -62,7 +62,7 @@ class Engine:
         before = self.store.read("events")
         self.store.add_events(new)
         everything = new if before is None else before.unionByName(new)
-        said = self.decide(everything).join(new.select("seq"), "seq", "left_semi")
+        said = self.decide(everything).join(new.select("seq"), "seq", "left_semi").cache()
         return Batch(ready, new, duplicates, said)
 
     def ingest_files(self, paths: list[str]) -> Batch:
@@ -73,7 +73,8 @@ class Engine:
 
     def decide(self, events: DataFrame, rules: Rules | None = None) -> DataFrame:
         rules = rules or self.rules
-        h = history.history(events, rules)
+        # Read twice: for the flags, and for what was live at each event.
+        h = history.history(events, rules).cache()
         return anomalies.flagged(h, rules, anomalies.near_duplicates_at(h) if rules.detect_anomalies else None)
 
     def states(self) -> DataFrame | None:
