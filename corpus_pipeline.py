@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, quality_prior, simhash, token_output
+from ledgerloom.llm import decontaminate, mixing, near_copies, quality_prior, token_output
 from ledgerloom.llm.common import materialize, table
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by SimHash."""
-    return simhash.representatives(docs)
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
