@@ -79,8 +79,13 @@ class Index:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def search(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, edits) for the best region of each band that holds a match, in characters of c."""
+    def search(self, c: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item number, start, end, edits) for the best region of each band and text that holds a match.
+
+        c holds the texts one after the other, text g from starts[g] up to one
+        separator before starts[g + 1]; places count in the text. No alignment
+        sees a character of another text.
+        """
         h = grams(c)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(self.keys):
@@ -110,8 +115,13 @@ class Index:
             i = int(x // width)
             k = int(self.k[i])
             start = (int(x % width) + low) * (k + 1)
-            if found := align(self.items[i][1], c, start, start + 2 * (k + 1), k):
-                out.append((i, *found))
+            last, wanted = start + 2 * (k + 1), self.items[i][1]
+            # The texts that the band reaches; what is too short cannot hold the item.
+            g, end = max(int(np.searchsorted(starts, start, side="right")) - 1, 0), int(np.searchsorted(starts, last + len(wanted)))
+            for t in range(g, min(end, len(starts) - 1)):
+                s, e = int(starts[t]), int(starts[t + 1]) - 1
+                if e - s >= len(wanted) - k and (found := align(wanted, c[s:e], start - s, last - s, k)):
+                    out.append((t, i, *found))
         return out
 
 
@@ -168,11 +178,9 @@ def matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, i
         for s, (_, c) in zip(starts, group, strict=False):
             joined[s : s + len(c)] = c
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for item, s, e, edits in index.search(joined):
-            g = int(np.searchsorted(starts, s, side="right")) - 1
-            if e <= starts[g + 1] - 1:
-                key, hit = (group[g][0], item), (edits, s - int(starts[g]), e - int(starts[g]))
-                best[key] = min(best.get(key, hit), hit)
+        for g, item, s, e, edits in index.search(joined, starts):
+            key, hit = (group[g][0], item), (edits, s, e)
+            best[key] = min(best.get(key, hit), hit)
         for (n, item), (edits, s, e) in sorted(best.items()):
             yield n, item, s, e, edits
 
