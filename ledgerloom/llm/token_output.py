@@ -17,15 +17,18 @@ set; columns other than doc_id and text are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,30 +52,63 @@ FORMAT = {
 }
 #: Characters of pieces in a generation of those that a worker keeps encoded.
 CACHED_CHARS = 6 << 20
-#: Ids gathered before a batch is handed on.
-BATCH_IDS = 1 << 20
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 4 << 20
 #: White space other than spaces and line feeds, in the widest sense of any Unicode version.
 _OTHER = re.compile(r"[\r\t\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: Characters whose class (letter, number, neither) is the same in every Unicode version in use.
+_KNOWN = "\x01-\u024f\u2010-\u2027\u2030-\u205e"
+_UNKNOWN = re.compile(f"[^{_KNOWN}]")
+
+
+def _pretokens() -> re.Pattern:
+    """The split before the merges of byte-level BPE, for text of _KNOWN characters without runs of white space."""
+    of = {k: "".join(re.escape(chr(c)) for c in range(1, 0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{of['L']}]+| ?[{of['N']}]+| ?[^\s{of['L']}{of['N']}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it can be seen, else the next one from U+0100."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """encode(text): the ids as little-endian 32-bit integers, equal to those of the whole text at once.
+    """Ids of texts, equal to those of each whole text at once by the library.
 
     A single space or line feed between other characters starts a new piece for
     byte-level BPE, whatever stands around, so such pieces can be encoded apart
     and remembered: one after a space without it, one after a line feed with it.
-    New ones of a text are encoded in one go, each after a line feed, whose
-    single id then marks where they start. A text with other white space, or
-    with two of them together, is encoded as it is.
+    Only the distinct pieces of a group of texts are looked at one by one; Arrow
+    and numpy do the rest. New pieces are parted as the library does it, where
+    every character's class is known for sure, and their distinct parts go
+    through the library's merges in one call; other new pieces go through the
+    whole of the library, each after a line feed, whose single id marks where
+    they start. A text with other white space, with two spaces or line feeds
+    together, or with a special token's string is encoded as it is.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._ids("\n")
+        said = json.loads(self.tokenizer.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.merges = None
+        if said["normalizer"] is None and plain.items() <= (said["pre_tokenizer"] or {}).items() and len(self.feed) == 1:
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.split = _pretokens().findall
+        #: Letters that each id stands for.
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        # Byte zero parts the pre-tokens; no piece has it.
+        self.letters = _byte_letters() | {0: "\n"}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.chars = 0
@@ -80,32 +116,90 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        ids = self._ids("".join([p if p[0] == "\n" else "\n " + p for p in new]))
+    def _marked(self, parts: list[str], ids: np.ndarray) -> dict[str, bytes]:
+        """parts and their ids, each after one line feed's."""
         starts = np.flatnonzero(ids == self.feed[0])
         coded, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        for p, a, b in zip(new, bounds[:-1], bounds[1:], strict=True):
-            self.known[p] = coded[a if p[0] == "\n" else a + 4 : b]
-        self.chars += sum(map(len, new))
+        return {p: coded[a + 4 : b] for p, a, b in zip(parts, bounds[:-1], bounds[1:], strict=True)}
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = ("\n" + text.replace("\n", " \n")).split(" ")
-        new = set(pieces).difference(self.known)
+    def _learn(self, new: list[str]) -> None:
+        self.chars += sum(map(len, new))
+        if self.merges is None or _UNKNOWN.search("".join(new)):
+            sure = [] if self.merges is None else [p for p in new if not _UNKNOWN.search(p)]
+            if other := list(set(new).difference(sure)):
+                said = self._marked(other, self._ids("".join([p if p[0] == "\n" else "\n " + p for p in other])))
+                self.known.update((p, self.feed.tobytes() + c if p[0] == "\n" else c) for p, c in said.items())
+            new = sure
         if new:
-            # These two stand for white space in a run or at an end, and are never learned.
-            if "" in new or "\n" in new or len(self.feed) != 1 or _OTHER.search(" ".join(new)):
-                return self._ids(text).tobytes()
-            if self.chars > CACHED_CHARS:
-                self.before, self.known, self.chars, new = self.known, {}, 0, set(pieces)
-            again = {p for p in new if p in self.before}
-            self.known.update((p, self.before[p]) for p in again)
-            self.chars += sum(map(len, again))
-            if new := new - again:
-                self._learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))[4:]
+            # A line feed is a pre-token of its own, as none meets other white space here.
+            split = self.split("".join([p if p[0] == "\n" else "\n " + p for p in new]))
+            parts = list(set(split) - {"\n"})
+            letters = "\0".join(parts).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+            # Ids never go over a part's end, so the letters that they stand for tell where each part's ids end.
+            ends = np.cumsum(np.fromiter(map(len, letters.split("\n")), np.int64, len(parts)))
+            ends = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
+            raw = ids.tobytes()
+            of = {p: raw[a:b] for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+            of["\n"] = b""
+            starts = [i for i, x in enumerate(split) if x == "\n"]
+            coded = list(map(of.__getitem__, split))
+            feed = self.feed.tobytes()
+            for p, a, b in zip(new, starts, [*starts[1:], len(split)], strict=True):
+                c = coded[a + 1] if b - a == 2 else b"".join(coded[a:b])
+                self.known[p] = feed + c if p[0] == "\n" else c
+
+    def _pieces(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of distinct pieces, and the places of those that cannot be encoded apart."""
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, c in enumerate(found) if c is None]
+        if not missing:
+            return found, []
+        # An empty piece and a bare line feed stand for white space in a run or at an end.
+        bad = [i for i in missing if pieces[i] in ("", "\n")]
+        joined = " ".join([pieces[i] for i in missing])
+        if _OTHER.search(joined) or any(s in joined for s in self.special) or len(self.feed) != 1:
+            bad = [i for i in missing if pieces[i] in ("", "\n") or _OTHER.search(pieces[i]) or any(s in pieces[i] for s in self.special) or len(self.feed) != 1]
+        for i in bad:
+            found[i] = b""
+        if bad:
+            missing = [i for i in missing if found[i] is None]
+        if self.chars > CACHED_CHARS:
+            # A new generation: what this group shares with the one before comes along.
+            self.before, self.known = self.known, {p: c for p, c in zip(pieces, found, strict=True) if c}
+            self.chars = sum(map(len, self.known))
+        again = {pieces[i]: c for i in missing if (c := self.before.get(pieces[i])) is not None}
+        self.known.update(again)
+        self.chars += sum(map(len, again))
+        self._learn([pieces[i] for i in missing if pieces[i] not in again])
+        for i in missing:
+            found[i] = self.known[pieces[i]]
+        return found, bad
+
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id after each, how many of them are each text's); null counts as empty."""
+        whole = pc.fill_null(texts, "")
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(whole, "\n", " \n"), ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, first = coded.indices.to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        found, bad = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[codes]
+        until = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(start[codes] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)]
+        counts = np.add.reduceat(sizes, first) if len(first) else np.zeros(0, np.int64)
+        # Each text starts with a line feed that is not its own: that place goes to the end id of the text before.
+        starts = np.cumsum(counts) - counts
+        if not bad:
+            ids[starts] = end_id
+            return np.append(ids[1:], np.array([end_id] * bool(len(ids)), dtype="<u4")), counts
+        irregular = np.zeros(len(found), dtype=bool)
+        irregular[bad] = True
+        odd = np.logical_or.reduceat(irregular[codes], first)
+        end = np.array([end_id], dtype="<u4")
+        parts = [np.append(self._ids(whole[i].as_py()), end) if odd[i] else np.append(ids[a + 1 : a + n], end) for i, (a, n) in enumerate(zip(starts, counts, strict=True))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
 
 
 def encoder_of(path: str) -> Encoder:
@@ -119,25 +213,17 @@ def encoder_of(path: str) -> Encoder:
 def _encoder_batches(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
-
-        def out(doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
-            sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            ids = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), ids)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes), lists], ["doc_id", "n_tokens", "tokens"])
-
-        doc_ids, parts, held = [], [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                parts.append(encoder.encode(batch.column(1)[i].as_py() or "") + end)
-                doc_ids.append(batch.column(0)[i].as_py())
-                held += len(parts[-1]) // 4
-                if held >= BATCH_IDS:
-                    yield out(doc_ids, parts)
-                    doc_ids, parts, held = [], [], 0
-        if parts:
-            yield out(doc_ids, parts)
+            if not batch.num_rows:
+                continue
+            # Groups of whole texts: large enough to hold many pieces of a kind, small enough for memory.
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
+            bounds = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                ids, counts = encoder.encode(batch.column(1)[a:b], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts), lists], ["doc_id", "n_tokens", "tokens"])
 
     return encode
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +83,6 @@ def test_token_files(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_output.tokenizer_file())
-    t.encode_special_tokens = True
     start, want = 0, {}
     for doc_id, text, *_ in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -98,12 +98,36 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_output.encoded(empty).count() == 0
 
 
-def test_encoder_equals_whole_texts():
+def test_encoder_equals_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_output.tokenizer_file())
+    monkeypatch.setattr(token_output, "CACHED_CHARS", 3000)
     e = token_output.Encoder(token_output.tokenizer_file())
+    signs = ["a", "b", " ", " ", "\n", "é", "1", "²", ".", "'s", "'ll", "’", "ß", "_", "½", "ª", "中", "😀", "—", "\0", "!", "\t", "<|endoftext|>", "\xa0", "\u3000", "\x1c", "\x85"]
     r = random.Random(3)
-    for _ in range(4000):
-        text = "".join(r.choice("ab  \n\té1.'s!<|endoftext|>\xa0　\x1c\x85中") for _ in range(r.randint(0, 25)))
-        assert e.encode(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for k in range(1500):
+        texts = ["".join(r.choice(signs if k % 2 else signs[:21]) for _ in range(r.randint(0, 25))) for _ in range(5)] + [None]
+        ids, counts = e.encode(pa.array(texts, pa.string()), 7)
+        at = 0
+        for t, n in zip(texts, counts, strict=True):
+            assert ids[at : at + n].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 7], t
+            at += n
+        assert at == len(ids)
+
+
+def test_token_files_of_special_and_long_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_output.tokenizer_file())
+    texts = ["a <|endoftext|> b", "word " * 200_000, "x" * 300_000, "tab\tand  two spaces", "中文 text", None]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ord int")
+    got = token_output.encoded(df, path=str(tmp_path / "t")).orderBy("doc_id").collect()
+    start = 0
+    for t, x in zip(texts, got, strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
 
 
 _PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -223,7 +247,6 @@ def test_quotations(spark):
     assert got[1, 2].text == "Thanks a lot to you!" and got[2, 1].text == "" and got[None, 1].text == "a > b"
     assert quoting.conversations(df.limit(0)).count() == 0
     import duckdb
-    import pyarrow as pa
 
     c = duckdb.connect()
     c.register("conversations", pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in TALK if r[0] is not None]))
