@@ -1,17 +1,23 @@
-"""Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Such pairs differ in up to a quarter of the 64 bits of a SimHash, too many for
-exact keys, so candidates come from MinHash: BANDS bands of ROWS minima, of which
-a pair at the threshold shares one with probability 1 - (1 - 0.8**5)**20 = 0.9996,
-and more similar pairs sooner. Every candidate is then checked on the whole sets.
-
-What links is the same as if all pairs of each bucket were checked, but pairs
-that are linked already over others are left out. Each bucket first checks its
-members against one of them; then those that have few open pairs check them
-all, while others take more pivots, eight times as many in each round.
+"""SimHash near-dedup on the pipeline's terms: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+Fingerprints of such pairs differ in about 10 of 64 bits and in up to DISTANCE,
+too many for the exact keys of ``simhash``: chains of so wide a budget leave no
+segment equal. So what may be compared is found by minima of the shingle hashes:
+of BANDS bands of ROWS minima a pair at the threshold shares one with probability
+1 - (1 - 0.8**5)**20 = 0.9996, and a more similar pair sooner. Texts that share a
+band form a group, however far along. Within a group the pigeonring filter asks
+for chains of fingerprint segments whose differences stay within their share of
+DISTANCE, then comes the full Hamming check, and last the exact overlap of the
+whole shingle sets. Only pairs that no earlier link joins are looked at, and only
+a spanning forest of links leaves a task.
+
+A group of many or long texts is cut into blocks, and each pair of blocks is a
+task of its own, so no group is gathered in one place and no pair is left out.
 
 Results for odd input: a text of fewer than five words is one shingle; null and
-empty texts are near copies of each other; an empty table gives an empty table.
+empty texts are near copies of each other; texts with equal shingle sets are near
+copies; repeated rows leave one; an empty table gives an empty table; columns of
+any name and type are kept, as rows are told apart by doc_id and text only.
 """
 
 from __future__ import annotations
@@ -24,20 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 from .components import components
+from .simhash import bits_of, chains_within
 
 SEED = 42
 SHINGLE = 5
 #: The least similarity of near copies is SIMILAR / 100.
 SIMILAR = 80
+#: Most bits in which their fingerprints may differ; at the threshold more have a chance of under 1 in 10,000.
+DISTANCE = 22
 BANDS = 20
 ROWS = 5
-#: Open pairs for each member up to which a bucket checks them all.
-OPEN = 64
+#: Texts and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 1 << 11, 1 << 20
 CHUNK = 1 << 13
-#: Shingle sets that a task remembers.
-HELD = 64
+#: Open partners of a text up to which they are compared one by one.
+FEW = 16
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,12 +70,7 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), b) - (1 << 63) for b, part in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
-
-
-SETS = "doc_id long, row_hash long, node long, n long, keys array<long>, text string"
+SETS = "doc_id long, row_hash long, node long, n long, keys array<long>"
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,82 +81,112 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63))
             sizes.append(len(s))
             keys.append(band_keys(s))
-        cols = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(1)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_hash", "node", "n", "keys", "text"])
-
-
-def _checked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-
-    def of(node: int, text: pa.Scalar) -> np.ndarray:
-        if node not in held:
-            if len(held) >= HELD:
-                del held[next(iter(held))]
-            held[node] = shingles(text.as_py())
-        return held[node]
-
+        cols = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_hash", "node", "n", "keys"])
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join what a chain of near copies joins; with sides, only pairs of both sides count."""
+    size = np.array([len(s) for s in sets])
+    fp = np.array([bits_of(s) for s in sets], dtype=np.uint64)
+    label = np.arange(len(sets))
+    grams = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    out = []
+    for x in range(1, len(sets)):
+        open_ = label[:x] != label[x]
+        if side is not None:
+            open_ &= side[:x] != side[x]
+        open_ &= 100 * np.minimum(size[:x], size[x]) >= SIMILAR * np.maximum(size[:x], size[x])
+        near = np.flatnonzero(open_)
+        apart = fp[near] ^ fp[x]
+        near, apart = near[ok := chains_within(apart, DISTANCE)], apart[ok]
+        bits = np.bitwise_count(apart)
+        near = near[bits <= DISTANCE][np.argsort(bits[bits <= DISTANCE], kind="stable")]
+        both = None
+        while len(near):
+            y = int(near[0])
+            if both is None and len(near) <= FEW:
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            else:
+                if both is None:
+                    # The overlap with all others at once, from the places of this text's shingles.
+                    low, high = np.searchsorted(grams, sets[x], "left"), np.searchsorted(grams, sets[x], "right")
+                    both = np.zeros(len(sets), dtype=np.int64)
+                    for i in range(0, len(low), 256):
+                        n = high[i : i + 256] - low[i : i + 256]
+                        at = np.repeat(low[i : i + 256] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        both += np.bincount(owner[at], minlength=len(sets))
+                common = int(both[y])
+            if 100 * common >= SIMILAR * (size[x] + size[y] - common):
+                out.append((x, y))
+                label[label == label[x]] = label[y]
+            near = near[1:]
+            near = near[label[near] != label[x]]
+    return out
+
+
+def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, low, high, block, node, text), sorted by the first three -> links; a group may go on over batches."""
+
+    def links(rows: list[tuple[int, int, str]], one: bool) -> pa.RecordBatch:
+        found = forest([shingles(t) for _, _, t in rows], None if one else np.array([b for b, _, _ in rows]))
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in found], pa.int64()), pa.array([rows[j][1] for _, j in found], pa.int64())], ["a", "b"])
+
+    now, held = None, []
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = [similar(of(x, s), of(y, t)) for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are near copies."""
-    full = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
-    return full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_checked_batches, "a long, b long")
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Open pairs of two lists of (key, node, n, root) whose sizes allow the similarity."""
-    right = right.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "root")))
-    both = left.join(right, "key").where(F.col("root") != F.col("root_2")).where(100 * F.least("n", "n_2") >= SIMILAR * F.greatest("n", "n_2"))
-    return both.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-
-
-def roots(sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of sets (node, n, keys, text) that are linked to another node."""
-    rows = sets.select("node", "n", F.explode("keys").alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    buckets = materialize(rows.join(shared, "key"), "buckets")
-    texts = sets.select("node", "text").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
-    spark = sets.sparkSession
-    links = tried = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, root long")
-    pivots = 1
-    while True:
-        members = buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        per_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"))
-        per_key = per_root.groupBy("key").agg(F.sum("s").alias("m"), (F.pow(F.sum("s"), 2) - F.sum(F.pow("s", F.lit(2)))).alias("twice")).where("twice > 0")
-        # In the first round only pivots: most members of a bucket are linked to any of them.
-        whole = F.lit(False) if pivots == 1 else (F.col("twice") <= 2 * OPEN * F.col("m")) | (F.col("m") <= pivots)
-        members = materialize(members.join(per_key.select("key", whole.alias("whole")), "key"), "members")
-        slots = members.where("not whole").groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("slot")) if pivots > 1 else members.where("not whole").groupBy("key")
-        chosen = slots.agg(F.min(F.struct("node", "n", "root")).alias("p")).select("key", "p.*")
-        pairs = _pairs(chosen, members.where("not whole")).unionByName(_pairs(members.where("whole"), members.where("whole"))).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_checked(pairs, texts)), "links")
-        found = materialize(components(links), "roots")
-        buckets = members.where("not whole").select("key", "node", "n")
-        if buckets.isEmpty():
-            return found
-        tried = tried.unionByName(pairs)
-        pivots *= 8
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for key, block, node, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            if key != now:
+                if len(held) > 1:
+                    yield links(held, now[1] == now[2])
+                now, held = key, []
+            held.append((block, node, text.as_py()))
+    if len(held) > 1:
+        yield links(held, now[1] == now[2])
+
+
+def groups(sets: DataFrame) -> DataFrame:
+    """(node, grp) of sets (node, keys) that share a band with another node, directly or along others."""
+    rows = sets.select("node", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    # A hot key is one small row on this side, so the join may be broadcast or split at will.
+    edges = rows.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return components(edges).withColumnRenamed("root", "grp")
+
+
+def links(grouped: DataFrame) -> DataFrame:
+    """grouped (grp, node, n, text), one row for each node -> (a, b): a spanning forest of the near copies of each group."""
+    sizes = grouped.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = grouped.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A row goes to each pair of its block with another one, or to its block alone where there is but one.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "text")
+    return rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "node").mapInArrow(_group_batches, "a long, b long")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near copies: the smallest doc_id, nulls last.
 
     All columns are kept as they are. Of rows with the same doc_id the one with
-    the smallest row hash stays, once.
+    the smallest text hash stays, once.
     """
-    row_hash = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    row_hash = F.xxhash64("doc_id", "text")
     sets = materialize(docs.select("doc_id", "text", row_hash.alias("row_hash")).mapInArrow(_set_batches, SETS), "shingles")
+    grouped = materialize(groups(sets), "groups")
+    # One text stands for each node of a group; rows that share the hash have equal texts.
+    chosen = sets.join(grouped, "node").groupBy("node").agg(F.min(F.struct("row_hash", "n", "grp")).alias("c")).select("node", F.col("c.*"))
+    texts = docs.select(row_hash.alias("row_hash"), "text").join(chosen, "row_hash").dropDuplicates(["node"])
+    roots = components(links(texts))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best")
     by_node = sets.groupBy("node").agg(best)
-    kept = by_node.join(roots(sets), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.row_hash").alias("__kept_hash"))
-    hashed = docs.withColumn("__row_hash", row_hash)
-    found = hashed.join(kept, (F.col("__row_hash") == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return found.dropDuplicates(["__row_hash", "doc_id"]).drop("__row_hash")
+    kept = by_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    rows = sets.groupBy("row_hash").agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialize(kept.select(F.col("best.row_hash").alias("row_hash")).join(rows, "row_hash"), "kept")
+    key, n = free_name(docs, "row_hash"), free_name(docs, "rows")
+    found = docs.withColumn(key, row_hash).join(kept.select(F.col("row_hash").alias(key), F.col("rows").alias(n)), key)
+    # Only what stands there repeatedly is gathered by its key again.
+    once = found.where(F.col(n) == 1).unionByName(found.where(F.col(n) > 1).dropDuplicates([key]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

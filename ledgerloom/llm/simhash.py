@@ -16,7 +16,8 @@ its links, not its pairs.
 Results for odd input: a null or empty text has fingerprint zero and links like
 any other; repeated rows share a component; a component whose doc_ids are all
 null has component_id null; an empty table gives an empty table; columns other
-than doc_id and text are not read by ``linked``.
+than doc_id and text are not read. ``near_copies`` uses the same fingerprints and
+filter at a wider distance.
 """
 
 from __future__ import annotations
@@ -42,6 +43,15 @@ MATRIX = 256
 CHUNK = 1 << 15
 
 
+def bits_of(h: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 where it is in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), CHUNK):
+        part = h[i : i + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str | None) -> int:
     """Unsigned 64-bit fingerprint of a whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -51,12 +61,7 @@ def simhash(text: str | None) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = [xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), CHUNK):
-        part = h[i : i + CHUNK]
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return bits_of(np.array(hashes, dtype="<u8"))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,16 +70,12 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         texts = batch.column(1)
         for i in range(batch.num_rows):
             fps[i] = simhash(texts[i].as_py())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row_hash", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, fp): one row for each row of docs; fp is the fingerprint as a signed long.
-
-    row_hash tells rows with the same doc_id apart; rows that share it too are equal.
-    """
-    rows = docs.select("doc_id", "text", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, row_hash long, fp long")
+    """(doc_id, fp): one row for each row of docs; fp is the fingerprint as a signed long."""
+    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def chain_keys(fp: str = "fp") -> F.Column:
@@ -91,10 +92,10 @@ def chain_keys(fp: str = "fp") -> F.Column:
     return F.array(*keys)
 
 
-def within_chain_budgets(x: np.ndarray) -> np.ndarray:
+def chains_within(x: np.ndarray, distance: int = MAX_DISTANCE) -> np.ndarray:
     """Which XORs have a start from which every chain of segments keeps its share of the distance."""
     per = np.bitwise_count(np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, SEGMENTS)[..., ::-1]).astype(np.int16)
-    budgets = np.arange(1, SEGMENTS + 1) * MAX_DISTANCE // SEGMENTS
+    budgets = np.arange(1, SEGMENTS + 1) * distance // SEGMENTS
     ok = np.zeros(x.shape, dtype=bool)
     for i in range(SEGMENTS):
         ok |= (np.cumsum(np.roll(per, -i, axis=-1), axis=-1) <= budgets).all(axis=-1)
@@ -115,7 +116,7 @@ def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _roots_by_matrix(f: np.ndarray) -> np.ndarray:
     u, v = np.triu_indices(len(f), 1)
     x = f[u] ^ f[v]
-    x, u, v = x[keep := within_chain_budgets(x)], u[keep], v[keep]
+    x, u, v = x[keep := chains_within(x)], u[keep], v[keep]
     close = np.bitwise_count(x) <= MAX_DISTANCE
     return _merge(np.arange(len(f)), u[close], v[close])
 
@@ -190,25 +191,5 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id, nulls last.
-
-    All columns are kept as they are. Of rows with the same doc_id the one with
-    the smallest row hash stays, once.
-    """
-    fps = materialize(fingerprints(docs), "simhash")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best")
-    by_fp = fps.groupBy("fp").agg(best)
-    kept = by_fp.join(_roots(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root").agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.row_hash").alias("__kept_hash"))
-    hashed = docs.withColumn("__row_hash", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = hashed.join(kept, (F.col("__row_hash") == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return found.dropDuplicates(["__row_hash", "doc_id"]).drop("__row_hash")
-
-
-def _roots(fps: DataFrame) -> DataFrame:
-    return components(links(materialize(fps.select("fp").distinct(), "fps"))).withColumnRenamed("node", "fp")
-
-
 def op4_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))

@@ -51,9 +51,9 @@ FORMAT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Characters of pieces in a generation of those that a worker keeps encoded.
-CACHED_CHARS = 6 << 20
+CACHED_CHARS = 4 << 20
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: White space other than spaces and line feeds, in the widest sense of any Unicode version.
 _OTHER = re.compile(r"[\r\t\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 #: Characters whose class (letter, number, neither) is the same in every Unicode version in use.

@@ -65,16 +65,14 @@ def test_chain_budgets_hold_for_every_close_pair():
     x = np.zeros(5000, dtype=np.uint64)
     for k in range(2):
         x ^= np.uint64(1) << r.integers(0, 64, 5000).astype(np.uint64)
-    assert simhash.within_chain_budgets(x).all() and not simhash.within_chain_budgets(np.array([(1 << 64) - 1], dtype=np.uint64)).any()
+    assert simhash.chains_within(x).all() and not simhash.chains_within(np.array([(1 << 64) - 1], dtype=np.uint64)).any()
 
 
 def test_simhash_odd_rows(odd, empty):
     got = simhash.linked(odd).collect()
     zero = [x for x in got if x.fingerprint == "0" * 16]
     assert len(got) == len(ODD) and len(zero) == 3 and {x.component_id for x in zero} == {1}
-    kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "3", "5", "6", "7", "None"]
-    assert simhash.linked(empty).count() == 0 and simhash.representatives(empty).count() == 0
+    assert simhash.linked(empty).count() == 0
 
 
 def test_token_files(spark, odd, empty, tmp_path):
