@@ -7,18 +7,24 @@ still asks for one common q-gram: n - Q + 1 - k Q. A common q-gram at place p of
 the document and i of the item lies on diagonal p - i; an alignment with k edits
 drifts by at most k diagonals, so it falls whole into one of the bands of 2 (k+1)
 diagonals that start every k+1. Bands whose count of different item places meets
-the bound are verified by alignment inside the band.
-
-The items are collected in blocks of BLOCK_CHARS characters, each a bounded query
-set against all documents. Results for odd input: null, empty and shorter items
-than Q characters match nothing; null and empty documents match nothing;
-repeated documents or items repeat rows; an empty table gives an empty result;
-``clean`` keeps all columns of the rows it keeps.
+the bound are verified by alignment, neighbouring ones in one alignment.
+
+A q-gram that stands at many places close by (a line of underscores) counts as
+one run of diagonals, so repeated characters cost their runs, not the product of
+their places. The items are taken in blocks of BLOCK_CHARS characters, each a
+bounded query set against all documents; past one block each block's result is
+written before the next is collected.
+
+Results for odd input: null, empty and shorter items than Q characters match
+nothing; null and empty documents match nothing; repeated documents or items
+repeat rows; an empty table gives an empty result; ``clean`` keeps all columns of
+the rows it keeps, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,9 @@ BLOCK_CHARS = 1 << 21
 SEARCH_CHARS = 1 << 20
 #: Bits of the table that most places of a document are looked up in.
 TABLE_BITS = 22
+#: Places of one q-gram this close make one run, and pairs of a run and an item's place that are held at once.
+CLOSE = Q
+PAIRS = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -66,7 +75,10 @@ class Index:
     """Items by their q-grams."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items = [(i, c) for i, t in items if len(c := codes(normal(t))) >= Q]
+        self._build([(i, c) for i, t in items if len(c := codes(normal(t))) >= Q])
+
+    def _build(self, items: list[tuple[int | None, np.ndarray]]) -> Index:
+        self.items, self.halves = items, None
         self.k = np.array([budget(len(c)) for _, c in self.items], dtype=np.int64)
         self.bound = np.array([len(c) - Q + 1 - k * Q for (_, c), k in zip(self.items, self.k, strict=True)], dtype=np.int64)
         parts = [grams(c) for _, c in self.items]
@@ -78,49 +90,73 @@ class Index:
         self.place = np.concatenate([np.arange(len(p)) for p in parts] or [np.empty(0, np.int64)])[order]
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        return self
 
-    def search(self, c: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item number, start, end, edits) for the best region of each band and text that holds a match.
+    def _split(self) -> tuple[Index, Index]:
+        if self.halves is None:
+            half = len(self.items) // 2
+            self.halves = tuple(object.__new__(Index)._build(x) for x in (self.items[:half], self.items[half:]))
+        return self.halves
 
-        c holds the texts one after the other, text g from starts[g] up to one
-        separator before starts[g + 1]; places count in the text. No alignment
-        sees a character of another text.
-        """
-        h = grams(c)
+    def _regions(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item number, first, last) of the diagonals whose bands hold enough of an item's places, last excluded."""
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(self.keys):
             return []
         key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         at, key = at[same := self.keys[key] == h[at]], key[same]
+        if not len(at):
+            return []
+        # Runs of places of one q-gram, as few places as may be.
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (at[1:] - at[:-1] > CLOSE)]
+        first, last, key = at[new], at[np.r_[np.flatnonzero(new)[1:], len(at)] - 1], key[new]
         n = self.count[key]
-        entry = np.repeat(self.first[key] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        if n.sum() > PAIRS and len(self.items) > 1:
+            left, right = self._split()
+            return left._regions(h) + [(i + len(left.items), a, b) for i, a, b in right._regions(h)]
+        entry = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, place = self.item[entry], self.place[entry]
         step = self.k[item] + 1
-        band = (np.repeat(at, n) - place) // step
         # Each diagonal lies in the bands that start at its step and the one before.
-        item, band, place = np.r_[item, item], np.r_[band, band - 1], np.r_[place, place]
-        low, width = (int(band.min()), int(band.max() - band.min()) + 1) if len(band) else (0, 1)
-        cell = item * width + (band - low)
-        cells, counts = np.unique(cell, return_counts=True)
-        full = cells[counts >= self.bound[cells // width]]
-        if not len(full):
-            return []
-        # Count different places of the item: one gram may stand at many places of the document.
-        chosen = np.isin(cell, full)
-        longest = int(self.place.max()) + 1
-        distinct = np.unique(cell[chosen] * longest + place[chosen]) // longest
-        cells, counts = np.unique(distinct, return_counts=True)
+        low, high = (np.repeat(first, n) - place) // step - 1, (np.repeat(last, n) - place) // step
+        # A place of an item counts once for a band, however many runs bring it there.
+        order = np.argsort(entry, kind="stable")
+        entry, item, low, high = entry[order], item[order], low[order], high[order]
+        again = np.r_[False, entry[1:] == entry[:-1]]
+        low[again] = np.maximum(low[again], high[np.flatnonzero(again) - 1] + 1)
+        item, low, high = item[some := low <= high], low[some], high[some]
+        least = int(low.min())
+        width = int(high.max()) + 2 - least
+        # Counts change where a place's bands start and just after they end.
+        at_cell, inverse = np.unique(np.r_[item * width + low - least, item * width + high + 1 - least], return_inverse=True)
+        change = np.bincount(inverse[: len(item)], minlength=len(at_cell)) - np.bincount(inverse[len(item) :], minlength=len(at_cell))
+        full = np.cumsum(change) >= self.bound[np.minimum(at_cell // width, len(self.items) - 1)]
+        starts = np.flatnonzero(full & np.r_[True, ~full[:-1]])
+        ends = np.flatnonzero(full & np.r_[~full[1:], True]) + 1
+        out = []
+        for x, y in zip(at_cell[starts].tolist(), at_cell[ends].tolist(), strict=True):
+            i, step = x // width, int(self.k[x // width]) + 1
+            out.append((i, (x % width + least) * step, (y - 1 - i * width + least + 2) * step))
+        return out
+
+    def search(self, c: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item number, start, end, edits) for the best region of each run of bands and text that holds a match.
+
+        c holds the texts one after the other, text g from starts[g] up to one
+        separator before starts[g + 1]; places count in the text. No alignment
+        sees a character of another text.
+        """
         out = []
-        for x in cells[counts >= self.bound[cells // width]]:
-            i = int(x // width)
-            k = int(self.k[i])
-            start = (int(x % width) + low) * (k + 1)
-            last, wanted = start + 2 * (k + 1), self.items[i][1]
-            # The texts that the band reaches; what is too short cannot hold the item.
-            g, end = max(int(np.searchsorted(starts, start, side="right")) - 1, 0), int(np.searchsorted(starts, last + len(wanted)))
+        for i, first, last in self._regions(grams(c)):
+            k, wanted = int(self.k[i]), self.items[i][1]
+            # The texts that the bands reach; what is too short cannot hold the item.
+            g, end = max(int(np.searchsorted(starts, first, side="right")) - 1, 0), int(np.searchsorted(starts, last + len(wanted)))
             for t in range(g, min(end, len(starts) - 1)):
                 s, e = int(starts[t]), int(starts[t + 1]) - 1
-                if e - s >= len(wanted) - k and (found := align(wanted, c[s:e], start - s, last - s, k)):
+                low, high = max(first - s, -k), min(last - s, e - s - len(wanted) + k + 1)
+                if e - s >= len(wanted) - k and low < high and (found := align(wanted, c[s:e], low, high, k)):
                     out.append((t, i, *found))
         return out
 
@@ -196,17 +232,19 @@ def matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, i
         yield from searched(group)
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The items on the driver, in bounded blocks."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], list[tuple[int | None, str]]]]:
+    """How many blocks the items make, and a function that collects one of them."""
     items = benchmark.select("item_id", "text").where(F.length("text") >= Q)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
-    items = items if n <= 1 else materialize(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n))), "items")
-    out = []
-    for b in range(n):
+    block = F.pmod(F.xxhash64("text"), F.lit(max(n, 1)))
+    items = items if n <= 1 else materialize(items.withColumn("block", block), "items")
+
+    def collect(b: int) -> list[tuple[int | None, str]]:
         part = items if n == 1 else items.where(F.col("block") == b)
-        out.append(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-    return out
+        return sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+    return n, collect
 
 
 HITS = "doc_id long, item_id long, start long, end long, edits long"
@@ -226,11 +264,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return batches_out
 
-    parts = [rows.mapInArrow(hits(items), HITS) for items in _blocks(benchmark)]
-    out = parts[0] if parts else rows.sparkSession.createDataFrame([], HITS)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n, block = _blocks(benchmark)
+    if n <= 1:
+        return rows.mapInArrow(hits(block(0)), HITS) if n else rows.sparkSession.createDataFrame([], HITS)
+    parts = [materialize(rows.mapInArrow(hits(block(b)), HITS), "hits") for b in range(n)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -246,8 +284,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return batches_out
 
-    for items in _blocks(benchmark):
-        docs = docs.mapInArrow(without(items, docs.columns.index("text")), docs.schema)
+    n, block = _blocks(benchmark)
+    for b in range(n):
+        docs = docs.mapInArrow(without(block(b), docs.columns.index("text")), docs.schema)
+        if b < n - 1:
+            docs = materialize(docs, "clean")
     return docs
 
 
