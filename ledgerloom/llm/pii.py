@@ -10,10 +10,13 @@ far apart, share skip potentials. Loopy belief propagation spreads the observed
 labels; a loose node whose belief in one kind reaches THRESHOLD becomes a span
 of that kind.
 
-The potentials are log ratios of counts over all documents, where base spans
-count with their kind and loose candidates, being unlabelled rather than
-negative, as "none" with the weight UNLABELLED. Nodes with one key are linked in
-a row, first to second to third, so edges grow with the nodes, not their square.
+The potentials are logs of rates over all documents, mixed with a fixed share of
+prior, so they do not change with the size of the corpus. Base spans count with
+their kind and loose candidates, being unlabelled rather than negative, as "none"
+with the weight UNLABELLED; how often nodes of one key agree is counted on
+observed ones only. Nodes with one key are linked in a row, first to second to
+third, and each to the key's first base span, so edges grow with the nodes, not
+their square, and a span's label is one step away from all its repeats.
 
 Results for odd input: a null or empty text has no spans; repeated rows give
 repeated rows; an empty table gives an empty table; only doc_id and text are read.
@@ -38,8 +41,12 @@ NONE = len(KINDS)
 #: Belief that turns a loose candidate into a span.
 THRESHOLD = 0.6
 UNLABELLED = 0.2
-#: Pseudo-counts of a potential, and the bound of its absolute value.
-SMOOTH, BOUND = 1.0, 4.0
+#: Share of the prior in a rate, and what nodes of one key agree in by the prior.
+PRIOR, AGREEMENT = 0.4, 0.95
+#: Bounds of a potential's absolute value: of skip edges, of chain edges.
+BOUND, CHAIN_BOUND = 4.0, 0.25
+#: Edges whose messages are computed at once.
+EDGES = 1 << 16
 #: Neighbours further apart than this many characters share no chain potential.
 NEAR = 200
 ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
@@ -145,14 +152,21 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
 
 
 def edges_of(nodes: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours, skip edges along the occurrences of each key."""
+    """Chain edges between neighbours; skip edges along the occurrences of each key and to its first base span."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= NEAR]
     seen: dict[str, int] = {}
+    observed: dict[str, int] = {}
+    for i, n in enumerate(nodes):
+        if n[2] != NONE:
+            for key in n[4]:
+                observed.setdefault(key, i)
     skip = set()
     for i, n in enumerate(nodes):
         for key in n[4]:
             if key in seen:
                 skip.add((seen[key], i))
+            if (j := observed.get(key, i)) != i:
+                skip.add((min(i, j), max(i, j)))
             seen[key] = i
     return chain, sorted(skip)
 
@@ -164,9 +178,11 @@ def _counts(nodes: list) -> Counter:
     for n, w in zip(nodes, weight, strict=True):
         out["unary", n[3], n[2]] += w
     chain, skip = edges_of(nodes)
-    for what, edges in (("chain", chain), ("skip", skip)):
-        for i, j in edges:
-            out[what, str(nodes[i][2]), nodes[j][2]] += min(weight[i], weight[j])
+    for i, j in chain:
+        out["chain", str(nodes[i][2]), nodes[j][2]] += min(weight[i], weight[j])
+    for i, j in skip:
+        if nodes[i][2] != NONE != nodes[j][2]:
+            out["skip", str(nodes[i][2]), nodes[j][2]] += 1.0
     return out
 
 
@@ -197,21 +213,24 @@ class Potentials:
 
     def __init__(self, counts: list[tuple[str, str, int, float]]):
         labels = NONE + 1
-        unary: dict[str, np.ndarray] = defaultdict(lambda: np.full(labels, SMOOTH))
-        pairs = {w: np.full((labels, labels), SMOOTH) for w in ("chain", "skip")}
-        # Before any count, nodes with one key are taken to agree.
-        pairs["skip"] += np.eye(labels) * 10 * SMOOTH
+        unary: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(labels))
+        pairs = {w: np.zeros((labels, labels)) for w in ("chain", "skip")}
         for what, x, y, n in counts:
             if what == "unary":
                 unary[x][y] += n
             else:
                 pairs[what][int(x), y] += n
-        self.unary = {k: np.log(v / v.sum()) for k, v in unary.items()}
-        self.unseen = np.log(np.full(labels, 1 / labels))
-        self.pair = {}
-        for what, p in pairs.items():
-            p = (p + p.T) / 2
-            self.pair[what] = np.clip(np.log(p * p.sum() / np.outer(p.sum(1), p.sum(0))), -BOUND, BOUND)
+        mixed = lambda v, prior: prior if v.sum() == 0 else (1 - PRIOR) * v / v.sum() + PRIOR * prior
+        even = np.full(labels, 1 / labels)
+        self.unary = {k: np.log(mixed(v, even)) for k, v in unary.items()}
+        self.unseen = np.log(even)
+        p = mixed(pairs["chain"] + pairs["chain"].T, np.full((labels, labels), 1 / labels**2))
+        chain = np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -CHAIN_BOUND, CHAIN_BOUND)
+        # Agreement of each kind with what it shares a key with, against any one other label.
+        both = pairs["skip"] + pairs["skip"].T
+        agree = np.array([mixed(np.array([both[k, k], both[k].sum() - both[k, k]]), np.array([AGREEMENT, 1 - AGREEMENT]))[0] for k in range(labels)])
+        skip = np.diag(np.clip(np.log(agree * (labels - 1) / (1 - agree)), 0, BOUND))
+        self.pair = {"chain": chain, "skip": skip}
 
 
 def beliefs(nodes: list, potentials: Potentials) -> np.ndarray:
@@ -223,17 +242,21 @@ def beliefs(nodes: list, potentials: Potentials) -> np.ndarray:
             unary[i, n[2]] = 0
     chain, skip = edges_of(nodes)
     edges = np.array([*chain, *skip], dtype=np.int64).reshape(-1, 2)
-    weights = np.array([potentials.pair["chain"]] * len(chain) + [potentials.pair["skip"]] * len(skip)).reshape(-1, NONE + 1, NONE + 1)
+    kinds = np.array([0] * len(chain) + [1] * len(skip))
+    # Both matrices are symmetric, so a message back goes through the same one.
+    pair = np.stack([potentials.pair["chain"], potentials.pair["skip"]])
     # Messages go both ways: row e is from edges[e, 0] to edges[e, 1], row e + len(edges) back.
-    source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-    weights = np.concatenate([weights, weights.transpose(0, 2, 1)])
+    source, target, kinds = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]], np.r_[kinds, kinds].astype(np.int64)
     back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
     messages = np.zeros((len(source), NONE + 1))
     for _ in range(ROUNDS):
         total = unary.copy()
         np.add.at(total, target, messages)
-        out = (total[source] - messages[back])[:, :, None] + weights
-        out = np.logaddexp.reduce(out, axis=1)
+        sent = total[source] - messages[back]
+        out = np.empty_like(messages)
+        for i in range(0, len(source), EDGES):
+            part = slice(i, i + EDGES)
+            out[part] = np.logaddexp.reduce(sent[part][:, :, None] + pair[kinds[part]], axis=1)
         out -= np.logaddexp.reduce(out, axis=1)[:, None]
         step = (1 - DAMPING) * (out - messages)
         messages = messages + step
