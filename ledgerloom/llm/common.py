@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if place is None:
         place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if place is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     return place
@@ -40,11 +40,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

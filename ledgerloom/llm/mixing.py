@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 from .measures import words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -34,9 +34,6 @@ SLOTS = 1 << 16
 LEAST_BLOCK, MOST_BLOCK = 16, 1 << 20
 #: Fraction of the golden ratio; 53 bits are exact in a double.
 PHI = 0.6180339887498949
-#: Slots or blocks ranked in one part.
-PART = 1 << 14
-
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: int = MAX_PASSES) -> dict[str | None, float]:
     """Share the sum of all sizes by weight; a target above most times its size stops there, its excess goes to the others by weight."""
@@ -115,7 +112,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Schedule:
     # Stands for a random order of the blocks in this pass; the last pass is cut short, whichever blocks come first.
     blocks = blocks.withColumn("h", F.xxhash64("sid", "pass", "block"))
     blocks = blocks.withColumn("words", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block))
-    wide = max(1, total // block // PART)
+    # Parts of root size again.
+    wide = max(1, math.isqrt(total // block))
     blocks = blocks.withColumn("part", F.col("pass") * wide + F.floor(F.shiftrightunsigned("h", 33) * F.lit(wide) / F.lit(1 << 31)))
     by_h = [F.shiftrightunsigned("h", 1), F.col("h"), F.col("block")]
     blocks = _prefix(blocks, ["sid"], "part", by_h, "words", "before")
@@ -130,7 +128,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Schedule:
     slots = spark.range(n_slots).withColumn("point", (F.col("id") * F.lit(PHI)) % 1.0)
     bounds = F.array(*(F.lit(float(e[2])) for e in edges)) if edges else F.array().cast("array<double>")
     sid = F.size(F.filter(bounds, lambda b: b <= F.col("point")))
-    slots = slots.withColumn("sid", F.least(sid, F.lit(max(len(sources) - 1, 0))).cast("int")).withColumn("part", F.shiftright("id", 14)).withColumn("one", F.lit(1).cast("long"))
+    slots = slots.withColumn("sid", F.least(sid, F.lit(max(len(sources) - 1, 0))).cast("int")).withColumn("part", F.floor(F.col("id") / F.lit(max(1, math.isqrt(n_slots))))).withColumn("one", F.lit(1).cast("long"))
     slots = _prefix(slots, ["sid"], "part", [F.col("id")], "one", "rank").select("sid", "rank", F.col("id").alias("slot"))
     # A source that the points give a slot too few gets its last blocks after all others.
     blocks = blocks.join(slots, ["sid", "rank"], "left").withColumn("slot", F.coalesce("slot", F.lit(n_slots) + F.col("rank")))
@@ -148,41 +146,47 @@ def pieces(schedule: Schedule) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs."""
+    """doc_id, size, source_size, target, taken, first_slot (null if nothing is taken) for every row of docs."""
     schedule = plan(docs, weights)
     # (sid, start, h) names a row: documents of one source with words start at different places.
-    taken = pieces(schedule).groupBy("sid", "start", "h").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    taken = pieces(schedule).groupBy("sid", "start", "h").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.min("slot").alias("first_slot"))
     rows = schedule.docs.where("size > 0").join(taken, ["sid", "start", "h"], "left")
-    rows = rows.unionByName(schedule.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    rows = rows.unionByName(schedule.docs.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}))
     sources = F.broadcast(_literal_table(docs.sparkSession, schedule.sources, 1).select("sid", "source_size", "target"))
-    return rows.join(sources, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.join(sources, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ordered: bool = False) -> DataFrame:
     """docs as the mix takes them: one row for each pass over a document, with the words taken in that pass.
 
     A document taken whole keeps its text as it is, otherwise the row has the
-    words taken, in order and joined by single spaces. All columns are kept;
-    n_chars, where there is one, is that of the new text. Documents of which
-    nothing is taken are left out.
+    words taken, in order and joined by single spaces. All columns are kept,
+    whatever their names; n_chars, where there is one, is that of the new text.
+    Documents of which nothing is taken are left out. ordered: deal the rows by
+    ranges of their first slot and sort them by it, so that each part is a
+    stretch of the schedule, for one more shuffle of the texts.
     """
     schedule = plan(docs, weights)
+    key, nth, spans_, taken, slot, words_ = (free_name(docs, f"__mix_{c}") for c in ("key", "n", "spans", "taken", "slot", "words"))
     spans = pieces(schedule).groupBy("sid", "start", "h", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("from", "to"))).alias("__mix_spans"), F.sum(F.col("to") - F.col("from")).alias("__mix_taken")
+        F.sort_array(F.collect_list(F.struct("from", "to"))).alias(spans_), F.sum(F.col("to") - F.col("from")).alias(taken), F.min("slot").alias(slot)
     )
     # Rows that share the hash have equal texts, so each takes one of their places.
-    places = schedule.docs.where("size > 0").select("sid", "start", "h", F.row_number().over(Window.partitionBy("h").orderBy("start")).alias("__mix_n"))
-    spans = spans.join(places, ["sid", "start", "h"]).select(F.col("h").alias("__mix_key"), "__mix_n", "__mix_spans", "__mix_taken")
-    keyed = docs.withColumn("__mix_key", F.xxhash64("doc_id", "source", "text"))
-    keyed = keyed.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_key").orderBy("doc_id")))
-    out = keyed.join(spans, ["__mix_key", "__mix_n"])
-    words = words_of(F.col("text"))
-    chosen = F.flatten(F.transform("__mix_spans", lambda s: F.slice(F.col("__mix_words"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
-    out = out.withColumn("__mix_words", words)
-    text = F.when(F.col("__mix_taken") == F.size("__mix_words"), F.col("text")).otherwise(F.array_join(chosen, " "))
+    places = schedule.docs.where("size > 0").select("sid", "start", "h", F.row_number().over(Window.partitionBy("h").orderBy("start")).alias(nth))
+    spans = spans.join(places, ["sid", "start", "h"]).select(F.col("h").alias(key), nth, spans_, taken, slot)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("doc_id")))
+    out = keyed.join(spans, [key, nth])
+    chosen = F.flatten(F.transform(spans_, lambda s: F.slice(F.col(words_), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
+    out = out.withColumn(words_, words_of(F.col("text")))
+    text = F.when(F.col(taken) == F.size(words_), F.col("text")).otherwise(F.array_join(chosen, " "))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    if ordered:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wide = -(-sum(s["need"] for s in schedule.sources) // (schedule.sources[0]["block"] * parts) or 1) if schedule.sources else 1
+        out = out.repartition(parts, F.floor(F.col(slot) / F.lit(wide))).sortWithinPartitions(slot)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

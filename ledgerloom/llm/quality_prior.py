@@ -165,10 +165,14 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that score at least THRESHOLD, with all their columns."""
-    evidence = _evidence(docs, labels, host, path)
+    # Rows travel as one struct, so no column of theirs meets one of ours; they are written
+    # beside their evidence, as measuring the texts twice costs far more than reading them.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", F.col(host).alias(_OWN + "host"), F.col(path).alias(_OWN + "path"))
+    evidence = _with_logit(rows, train(docs, labels)).drop("text")
+    evidence = materialize(evidence, "evidence")
     sites, prior = site_table(evidence)
     kept = _combined(evidence, sites, prior).where(F.col(_OWN + "score") >= THRESHOLD)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_quality_bayes(spark, sf_dir: str) -> DataFrame:
