@@ -233,7 +233,8 @@ def test_quality_measures(spark, odd, empty):
 TALK = [
     (1, 0, "user", "Hello there, I have a question.\nHow do I sort a list?"), (1, 1, "assistant", "> How do I sort a list?\nUse sorted().\n\nIt returns a new list for you."),
     (1, 2, "user", ">> how do i sort a list\n> Use sorted().\n> It returns a new list for you.\n>\nThanks a lot to you!"), (1, 3, "assistant", "> Thanks a lot to you!\nYou are welcome."),
-    (1, 4, "user", "> Hello there, I have a question.\nDid you see that one?"), (1, 5, "user", "> not said anywhere at all\nok"), (2, 0, "user", None), (2, None, "user", "> x"), (None, 1, None, "a > b"), (None, 1, None, "a > b"),
+    (1, 4, "user", "> Hello there, I have a question.\nDid you see that one?"), (1, 5, "user", "> not said anywhere at all\nok"), (1, 6, "user", "Yes."),
+    (1, 7, "assistant", "> Yes\nFirst point.\nSecond point.\n> Ok\nThird point.\n\nFourth."), (1, 8, "user", ">Second point.\n> Third point.\nThat is two lines of it.\n> First point.\n> Third point.\nnot in a row"), (1, 9, "user", "> !!!\n> ..."), (2, 0, "user", None), (2, None, "user", "> x"), (None, 1, None, "a > b"), (None, 1, None, "a > b"),
 ]
 
 
@@ -241,7 +242,7 @@ def test_quotations(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
     got = {(x.conv_id, x.position): x for x in quoting.conversations(df).collect()}
     assert len(got) == len(TALK)
-    assert [(got[1, i].n_quotes, got[1, i].n_linked, got[1, i].reply_to) for i in range(6)] == [(0, 0, None), (1, 1, 0), (2, 2, 1), (1, 1, 2), (1, 1, 0), (1, 0, 4)]
+    assert [(got[1, i].n_quotes, got[1, i].n_linked, got[1, i].reply_to) for i in range(10)] == [(0, 0, None), (1, 1, 0), (2, 2, 1), (1, 1, 2), (1, 1, 0), (1, 0, 4), (0, 0, 5), (2, 2, 6), (2, 1, 7), (1, 0, 8)]
     assert got[1, 2].text == "Thanks a lot to you!" and got[2, 1].text == "" and got[None, 1].text == "a > b"
     assert quoting.conversations(df.limit(0)).count() == 0
     import duckdb
@@ -252,6 +253,36 @@ def test_quotations(spark):
     assert sorted(map(repr, c.sql(quoting.OP6_SQL).fetchall())) == sorted(repr(tuple(x[n] for n in names)) for k, x in got.items() if k[0] is not None)
 
 
+def test_quotations_of_generated_threads(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(quoting, "PART", 4)
+    r = random.Random(6)
+    pool = ["Yes.", "Thanks a lot!", "See you", "that is right", "no, wait", "Überall 3", "ok", "-- "]
+    rows = []
+    for c in range(25):
+        said = []
+        for t in range(r.randint(1, 14)):
+            lines = [" ".join(r.choice(pool) for _ in range(r.randint(1, 3))) for _ in range(r.randint(0, 4))]
+            if said and r.random() < 0.7:
+                old = r.choice(said).split("\n")
+                a = r.randrange(len(old))
+                quoted = [">" * r.randint(1, 2) + " " + x for x in old[a : a + r.randint(1, 3)]]
+                at = r.randint(0, len(lines))
+                lines[at:at] = [x.upper() if r.random() < 0.2 else x for x in quoted]
+            said.append("\n".join(lines))
+            rows.append((c, r.choice([t, t, t // 2]), r.choice(["user", None]), said[-1]))
+    got = quoting.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    c = duckdb.connect()
+    c.register("conversations", pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), x, strict=True)) for x in rows]))
+    said = c.sql(quoting.OP6_SQL)
+    got = [tuple(x[n] for n in said.columns) for x in got.collect()]
+    want = said.fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    linked = said.columns.index("n_linked")
+    assert sum(x[linked] for x in want) > 30
+
+
 def test_targets():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
     t = mixing.targets({"a": 1, "b": 100, "c": 100})
