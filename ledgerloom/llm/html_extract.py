@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,7 +63,6 @@ class Block:
     box: int
     main: bool
     dropped: bool
-    heading: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -86,21 +86,28 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     # Open elements: name, block box, whether in main, dropped, silent, in a link.
     stack: list[tuple[str, int, bool, bool, bool, bool]] = []
-    box, boxes, main, dropped, silent, link, heading = 0, 0, False, False, False, False, False
+    # Places in the stack of each name, of block elements, and of those that no left-out end tag reaches over.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    block_places, walls = [], []
+    box, boxes, main, dropped, silent, link = 0, 0, False, False, False, False
     block = Block(0, False, False)
 
     def ended() -> None:
         nonlocal block
         if block.parts and block.close():
             out.append(block)
-        block = Block(box, main, dropped, heading)
+        block = Block(box, main, dropped)
 
     def pop_to(i: int) -> None:
-        nonlocal box, main, dropped, silent, link, heading
-        broke = any(x[0] in BLOCK for x in stack[i:])
+        nonlocal box, main, dropped, silent, link
         _, box, main, dropped, silent, link = stack[i]
+        for x in stack[i:]:
+            places[x[0]].pop()
         del stack[i:]
-        heading = any(re.fullmatch("h[1-6]", x[0]) for x in stack)
+        broke = bool(block_places) and block_places[-1] >= i
+        for kept in (block_places, walls):
+            while kept and kept[-1] >= i:
+                kept.pop()
         if broke:
             ended()
 
@@ -121,13 +128,9 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if name == "br":
                 block.parts.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                # A stray end tag of a phrase does not close the blocks around it.
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            # A stray end tag of a phrase does not close the blocks around it.
+            if places[name] and (name in BLOCK or not block_places or places[name][-1] > block_places[-1]):
+                pop_to(places[name][-1])
             continue
         if name in ("br", "wbr", "img", "hr") or name in VOID:
             if name == "hr":
@@ -140,26 +143,27 @@ def blocks_of(page: str) -> list[Block]:
         closes += ("p",) if name in CLOSES_P else ()
         if name == "body":
             closes += ("head",)
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closes:
-                pop_to(i)
-                break
-            if stack[i][0] in BLOCK and stack[i][0] not in ("p", "td", "th") and stack[i][0] != "head":
-                break
+        open_ = max((places[c][-1] for c in closes if places[c]), default=-1)
+        if open_ >= 0 and (not walls or open_ >= walls[-1]):
+            pop_to(open_)
         attributes = m[3] or ""
+        places[name].append(len(stack))
+        if name in BLOCK:
+            block_places.append(len(stack))
+            if name not in ("p", "td", "th", "head"):
+                walls.append(len(stack))
         stack.append((name, box, main, dropped, silent, link))
+        in_article = main
         if name in BLOCK:
             boxes += 1
             if name in MAIN or name in ("section", "div", "body", "td") and not main:
                 box = boxes
         main = main or name in MAIN
-        in_article = any(x[0] in MAIN for x in stack[:-1])
         # An article's own header holds its title; the page's header does not.
         named = bool(attributes) and (_names(attributes) or bool(_HIDDEN.search(attributes)))
         dropped = dropped or (name in ASIDE and not (name == "header" and in_article)) or (named and name not in ("html", "body", "main"))
         silent = silent or name in SILENT
         link = link or name == "a"
-        heading = heading or bool(re.fullmatch("h[1-6]", name))
         if name in BLOCK:
             ended()
         if name in RAW:
@@ -210,10 +214,8 @@ def second_pass(blocks: list[Block], decided: list[bool | None]) -> list[bool]:
                 before.setdefault(b.box, {})[decided[i]] = i
             continue
         near = {v: min(abs(i - before.get(b.box, {}).get(v, -far)), abs(after[i].get(v, far + len(blocks)) - i)) for v in (True, False)}
-        if b.main:
-            label.append(True)
-        elif min(near.values()) >= far:
-            label.append(False)
+        if min(near.values()) >= far:
+            label.append(b.main)
         else:
             label.append(near[True] <= near[False])
     return label
