@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, literal_map
+from .text import expressed, literal_map
 
 # Currencies whose minor unit is not a hundredth.
 MINOR_DIGITS = {"JPY": 0, "KRW": 0, "VND": 0, "CLP": 0, "BHD": 3, "KWD": 3, "JOD": 3, "TND": 3}
@@ -31,41 +31,49 @@ def currency_code(raw: Column, default: str = "USD") -> Column:
     return F.struct(F.when(blank, F.lit(default)).when(ok, text).alias("value"), F.when(~blank & ~ok, F.lit("E_BAD_CURRENCY")).alias("error"))
 
 
-def amount_text(raw: Column) -> Column:
-    """The number a text amount stands for, as plain text; null if it is none.
+_PLAIN = r"^[0-9]{1,13}(\.[0-9]{1,9})?$"
 
-    Parentheses or a trailing minus negate; one currency sign at either end,
-    separators and white space go.
-    """
-    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^[$£€¥₹]|[$£€¥₹]$", ""), "(?U)[\\s,_\u00a0\u2009\u202f]", "")
 
-    def signed(t: Column, negative: Column) -> Column:
-        t = F.regexp_replace(F.regexp_replace(t, "-$", ""), r"^\+", "")
-        turned = lambda x: F.when(x.startswith("-"), F.substring(x, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), F.regexp_replace(x, r"^\+", "")))
-        return let(t, lambda x: F.when(x.rlike(_NUMBER), F.when(negative, turned(x)).otherwise(x)))
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    def inside(t: Column) -> Column:
-        bracketed = t.rlike(r"(?s)^\(.*\)$")
-        inner = F.when(bracketed, trimmed(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-        return let(bare(inner), lambda x: signed(x, bracketed | x.rlike("-$")))
 
-    return let(trimmed(raw), inside)
+def _unmarked(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "^[$£€¥₹]|[$£€¥₹]$", ""), "(?U)[\\s,_\u00a0\u2009\u202f]", "")
+
+
+def _negated(x: Column) -> Column:
+    return F.when(x.startswith("-"), F.substring(x, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), F.regexp_replace(x, r"^\+", "")))
+
+
+def _judged(v) -> dict[str, Column]:
+    blank = v("raw").isNull() | ~v("raw").rlike(r"(?U)\S")
+    big = v("number").isNotNull() & (v("exact").isNull() | (F.abs(v("exact")) > MOST_MAJOR))
+    return {
+        "scaled": v("exact") * _power(v("currency")).cast("decimal(4,0)"),
+        "error": F.when(blank, "E_MISSING_AMOUNT").when(v("number").isNull(), "E_BAD_AMOUNT").when(big, "E_AMOUNT_RANGE"),
+    }
+
+
+#: From raw and currency to minor, error and warning. Parentheses or a trailing minus negate; one currency sign
+#: at either end, separators and white space go; half a unit rounds away from zero.
+AMOUNT_STEPS = [
+    lambda v: {"plain": v("raw").rlike(_PLAIN)},
+    lambda v: {"trimmed": F.when(~v("plain"), _trimmed(v("raw")))},
+    lambda v: {"bracketed": v("trimmed").rlike(r"(?s)^\(.*\)$")},
+    lambda v: {"bare": _unmarked(F.when(v("bracketed"), _trimmed(F.substring(v("trimmed"), F.lit(2), F.length(v("trimmed")) - 2))).otherwise(v("trimmed")))},
+    lambda v: {"negative": v("bracketed") | v("bare").rlike("-$"), "unsigned": F.regexp_replace(F.regexp_replace(v("bare"), "-$", ""), r"^\+", "")},
+    lambda v: {"number": F.when(v("plain"), v("raw")).when(v("unsigned").rlike(_NUMBER), F.when(v("negative"), _negated(v("unsigned"))).otherwise(v("unsigned")))},
+    lambda v: {"exact": v("number").try_cast("decimal(32,18)")},
+    _judged,
+    lambda v: {"whole": F.when(v("error").isNull(), F.round(v("scaled"), 0))},
+    lambda v: {"minor": v("whole").cast("long"), "warning": F.when(v("scaled") != v("whole"), F.lit("W_ROUNDED"))},
+]
 
 
 def parse_amount(raw: Column, currency: Column) -> Column:
-    """struct(minor, error, warning); half a unit rounds away from zero."""
-    blank = raw.isNull() | (F.regexp_replace(raw, r"(?U)\s+", "") == "")
-
-    def result(number: Column) -> Column:
-        exact = number.try_cast("decimal(32,18)")
-        scaled = exact * _power(currency).cast("decimal(4,0)")
-        big = number.isNotNull() & (exact.isNull() | (F.abs(exact) > MOST_MAJOR))
-        error = F.when(blank, "E_MISSING_AMOUNT").when(number.isNull(), "E_BAD_AMOUNT").when(big, "E_AMOUNT_RANGE")
-        warning = F.when(error.isNull() & (scaled != F.round(scaled, 0)), F.lit("W_ROUNDED"))
-        return F.struct(F.when(error.isNull(), F.round(scaled, 0).cast("long")).alias("minor"), error.alias("error"), warning.alias("warning"))
-
-    return let(amount_text(raw), result)
+    """struct(minor, error, warning)."""
+    return expressed({"raw": raw, "currency": currency}, AMOUNT_STEPS, lambda v: F.struct(*(v(n).alias(n) for n in ("minor", "error", "warning"))))
 
 
 def format_amount(minor: Column, currency: Column) -> Column:

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that mean "no value".
@@ -19,14 +19,78 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+#: A step of a computation: from the names so far to new columns. Steps make one projection each in a frame.
+Step = Callable[[Callable[[str], Column]], dict[str, Column]]
+
+
+def staged(df: DataFrame, *runs: tuple[str, dict[str, Column], list[Step]]) -> DataFrame:
+    """df with the columns of each run, (prefix, inputs, steps), under its prefix.
+
+    Each level of steps is one projection, which code generation covers and the
+    optimizer keeps apart where a column is used more than once.
+    """
+    df = df.withColumns({p + k: c for p, inputs, _ in runs for k, c in inputs.items()})
+    for level in range(max(len(steps) for *_, steps in runs)):
+        df = df.withColumns({p + k: c for p, _, steps in runs if level < len(steps) for k, c in steps[level](lambda n, p=p: F.col(p + n)).items()})
+    return df
+
+
+def expressed(inputs: dict[str, Column], steps: list[Step], result: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """The same steps as one expression, for use where no frame is at hand."""
+
+    def go(names: list[str], at: int, s: Column) -> Column:
+        if at == len(steps):
+            return result(lambda n: s[n])
+        new = steps[at](lambda n: s[n])
+        kept = [n for n in names if n not in new]
+        return let(F.struct(*(s[n].alias(n) for n in kept), *(c.alias(n) for n, c in new.items())), lambda t: go([*kept, *new], at + 1, t))
+
+    return let(F.struct(*(c.alias(n) for n, c in inputs.items())), lambda s: go(list(inputs), 0, s))
+
+
+#: A step of a computation: from the names so far to new columns. Steps make one projection each in a frame.
+Step = Callable[[Callable[[str], Column]], dict[str, Column]]
+
+
+def staged(df: DataFrame, *runs: tuple[str, dict[str, Column], list[Step]]) -> DataFrame:
+    """df with the columns of each run, (prefix, inputs, steps), under its prefix.
+
+    Each level of steps is one projection, which code generation covers and the
+    optimizer keeps apart where a column is used more than once.
+    """
+    df = df.withColumns({p + k: c for p, inputs, _ in runs for k, c in inputs.items()})
+    for level in range(max(len(steps) for *_, steps in runs)):
+        df = df.withColumns({p + k: c for p, _, steps in runs if level < len(steps) for k, c in steps[level](lambda n, p=p: F.col(p + n)).items()})
+    return df
+
+
+def expressed(inputs: dict[str, Column], steps: list[Step], result: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """The same steps as one expression, for use where no frame is at hand."""
+
+    def go(names: list[str], at: int, s: Column) -> Column:
+        if at == len(steps):
+            return result(lambda n: s[n])
+        new = steps[at](lambda n: s[n])
+        kept = [n for n in names if n not in new]
+        return let(F.struct(*(s[n].alias(n) for n in kept), *(c.alias(n) for n, c in new.items())), lambda t: go([*kept, *new], at + 1, t))
+
+    return let(F.struct(*(c.alias(n) for n, c in inputs.items())), lambda s: go(list(inputs), 0, s))
+
+
 def squeezed(c: Column) -> Column:
     """Without white space at the ends, and one space for each run within."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), _SPACES, " ")
+    # Most texts are so already, which one look tells.
+    return F.when(c.rlike(r"(?U)^\s|\s$|\s\s|[\s&&[^ ]]"), F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), _SPACES, " ")).otherwise(c)
+
+
+def said(text: Column) -> Column:
+    """A squeezed text, or null if it means "no value"."""
+    return F.when(~F.lower(text).isin(*EMPTY), text)
 
 
 def clean(c: Column) -> Column:
     """squeezed, or null for a text that means "no value"."""
-    return let(squeezed(c), lambda text: F.when(~F.lower(text).isin(*EMPTY), text))
+    return let(squeezed(c), said)
 
 
 def identity(c: Column, case_insensitive: bool = True) -> Column:

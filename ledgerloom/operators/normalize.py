@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import ACTION_RANK, ACTION_WORDS, DEFAULT, GROUPS, SOURCE_WORDS, Rules, spelled
 from ..functions import dates, money
 from ..functions.canon import json_array, number, quoted, stable_id
-from ..functions.text import clean, compatible, folded, identity, literal_map, slug, squeezed
+from ..functions.text import compatible, folded, identity, literal_map, said, slug, squeezed, staged
 
 # Headers under which a field may come.
 HEADERS = {
@@ -99,26 +99,23 @@ def normalized(rows: DataFrame, rules: Rules = DEFAULT, full_unicode: bool = Fal
         df = df.withColumns({c: compatible(F.col(c)) for c in ids})
     key = (lambda c: folded(squeezed(c)) if rules.case_insensitive_ids else squeezed(c)) if full_unicode else (lambda c: identity(c, rules.case_insensitive_ids))
 
-    said = {c: clean(F.col(c)) for c in ("user_id", "transaction_id", "category", "merchant", "account_id", "parent_transaction_id", "role", "event_id", "source", "action")}
-    df = df.withColumns({f"_{c}": v for c, v in said.items()})
+    texts = ("user_id", "transaction_id", "category", "merchant", "account_id", "parent_transaction_id", "role", "event_id", "source", "action")
+    df = staged(df, ("_", {}, [lambda v: {f"sq_{c}": squeezed(F.col(c)) for c in (*texts, "amount", "date", "event_ts")}, lambda v: {c: said(v(f"sq_{c}")) for c in (*texts, "amount", "date", "event_ts")}]))
     df = df.withColumns({
         "_act": F.element_at(literal_map(spelled(ACTION_WORDS)), slug(F.col("_action"))),
         "_src": F.element_at(literal_map(spelled(SOURCE_WORDS)), slug(F.col("_source"))),
         "_ccy": money.currency_code(F.col("currency"), rules.default_currency),
-        "_has_amount": clean(F.col("amount")).isNotNull(),
-        "_has_date": clean(F.col("date")).isNotNull(),
-        "_has_ts": clean(F.col("event_ts")).isNotNull(),
+        "_has_amount": F.col("_amount").isNotNull(), "_has_date": F.col("_date").isNotNull(), "_has_ts": F.col("_event_ts").isNotNull(),
     })
     df = df.withColumn("_currency", F.coalesce("_ccy.value", F.lit(rules.default_currency)))
-    df = df.withColumns({
-        "_money": money.parse_amount(F.col("amount"), F.col("_currency")),
-        "_day": dates.parse_date(F.col("date"), rules.strict_ambiguous_dates),
-        "_when": dates.parse_timestamp(F.col("event_ts")),
-    })
-    in_range = F.col("_day.value").between(F.lit(rules.min_date), F.lit(rules.max_date))
-    df = df.withColumns({"amount_minor": F.when(F.col("_has_amount"), F.col("_money.minor")), "_date": F.when(F.col("_has_date") & in_range, F.col("_day.value"))})
+    df = staged(
+        df, ("_money_", {"raw": F.col("amount"), "currency": F.col("_currency")}, money.AMOUNT_STEPS), ("_day_", {"text": F.col("_date")}, dates.date_steps(rules.strict_ambiguous_dates)),
+        ("_when_", {"moment": F.col("_event_ts")}, dates.timestamp_steps()),
+    )
+    in_range = F.col("_day_value").between(F.lit(rules.min_date), F.lit(rules.max_date))
+    df = df.withColumns({"amount_minor": F.when(F.col("_has_amount"), F.col("_money_minor")), "_date": F.when(F.col("_has_date") & in_range, F.col("_day_value"))})
     inferred = ~F.col("_has_ts") & F.col("_date").isNotNull() & F.lit(rules.infer_missing_event_ts)
-    df = df.withColumns({"_inferred": inferred, "_ts": F.when(F.col("_has_ts"), F.col("_when.value")).when(inferred, F.col("_date").cast("timestamp"))})
+    df = df.withColumns({"_inferred": inferred, "_ts": F.when(F.col("_has_ts"), F.col("_when_at")).when(inferred, F.col("_date").cast("timestamp"))})
 
     given = F.col("_transaction_id").isNotNull()
     can = F.lit(rules.synthesize_missing_transaction_id) & (F.col("_act") == "create") & F.col("amount_minor").isNotNull() & F.col("_date").isNotNull()
@@ -135,16 +132,16 @@ def normalized(rows: DataFrame, rules: Rules = DEFAULT, full_unicode: bool = Fal
         _issue(F.col("_act").isNull(), F.when(F.col("_action").isNull(), "E_MISSING_ACTION").otherwise("E_BAD_ACTION"), "action"),
         _issue(F.col("_src").isNull(), F.when(F.col("_source").isNull(), "W_SOURCE_MISSING").otherwise("W_SOURCE_UNKNOWN"), "source", "warning"),
         _issue(F.col("_ccy.error").isNotNull(), F.col("_ccy.error"), "currency"),
-        _issue(F.col("_has_amount") & F.col("_money.error").isNotNull(), F.col("_money.error"), "amount"),
-        _issue(F.col("_has_amount") & F.col("_money.warning").isNotNull(), F.col("_money.warning"), "amount", "warning"),
+        _issue(F.col("_has_amount") & F.col("_money_error").isNotNull(), F.col("_money_error"), "amount"),
+        _issue(F.col("_has_amount") & F.col("_money_warning").isNotNull(), F.col("_money_warning"), "amount", "warning"),
         _issue(~F.col("_has_amount") & create, "E_MISSING_AMOUNT", "amount"),
-        _issue(F.col("_has_date") & F.col("_day.error").isNotNull(), F.col("_day.error"), "date"),
-        _issue(F.col("_has_date") & F.col("_day.truncated").isNotNull(), F.col("_day.truncated"), "date", "warning"),
-        _issue(F.col("_has_date") & F.col("_day.warning").isNotNull(), F.col("_day.warning"), "date", "warning"),
+        _issue(F.col("_has_date") & F.col("_day_error").isNotNull(), F.col("_day_error"), "date"),
+        _issue(F.col("_has_date") & F.col("_day_cut").isNotNull(), F.col("_day_cut"), "date", "warning"),
+        _issue(F.col("_has_date") & F.col("_day_warning").isNotNull(), F.col("_day_warning"), "date", "warning"),
         _issue(F.col("_has_date") & ~in_range, "E_DATE_RANGE", "date"),
         _issue(~F.col("_has_date") & create, "E_MISSING_DATE", "date"),
         _issue(update & nothing, "E_EMPTY_UPDATE", ""),
-        _issue(F.col("_has_ts") & F.col("_when.error").isNotNull(), F.col("_when.error"), "event_ts"),
+        _issue(F.col("_has_ts") & F.col("_when_ts_error").isNotNull(), F.col("_when_ts_error"), "event_ts"),
         _issue(F.col("_inferred"), "W_TS_INFERRED", "event_ts", "warning"),
         _issue(~F.col("_has_ts") & ~F.col("_inferred"), "E_MISSING_EVENT_TS", "event_ts"),
         _issue(~given & ~F.col("_made"), "E_MISSING_TXN_ID", "transaction_id"),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, GROUPS, Period
 from ..functions import canon, dates, money
 from ..operators import anomalies, audit, fold, history, normalize, rollups
+from ..sources import readers, store
+from ..sources.scratch import shared_path, written
 from . import feeds
 
 #: Without guards, so that SQL can follow the rules; guarded queries are checked by their row counts and tests.
@@ -35,10 +37,21 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(feeds.events_feed(spark, d), OPEN)
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+#: Normalized events by session and folder: parsed and written once, as a store's event table is.
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _first(spark: SparkSession, d: str) -> DataFrame:
     return normalize.first_arrivals(_rows(spark, d).where("accepted"))[0]
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TABLES:
+        _TABLES[key] = written(_first(spark, d).drop("issues", "accepted", "extra"), "events")
+    return _TABLES[key]
+
+
 def _states(spark: SparkSession, d: str) -> DataFrame:
     return fold.folded_mixed(_events(spark, d), OPEN)
 
@@ -47,24 +60,21 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     return history.native_history(_events(spark, d), OPEN)
 
 
-def _no_delete(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).where("action <> 'delete'")
-
-
 # ---- the same in SQL ----
 
 _FEED = """
 feed AS (
   SELECT (i * 7919) % 10007 * 1000000000 + i * 2 + c AS seq, 'e' || i AS event_id, user_id::VARCHAR AS user_key, 'T' || (k % 20) AS transaction_id, 't' || (k % 20) AS transaction_key,
-    action, CASE action WHEN 'create' THEN 0 WHEN 'update' THEN 1 ELSE 2 END AS rank, source, role, ts AS event_ts,
+    action, CASE action WHEN 'create' THEN 0 WHEN 'update' THEN 1 ELSE 2 END AS rank, source, role, CASE WHEN i % 5 = 0 THEN date_trunc('month', ts) ELSE ts END AS event_ts,
     CASE source WHEN 'user_edit' THEN 100 + CASE WHEN role = 'premium' THEN 10 ELSE 0 END WHEN 'third_party' THEN 50 WHEN 'bank_sync' THEN 10 ELSE 1 END AS authority,
-    currency, CASE WHEN action = 'create' OR (action = 'update' AND i % 3 <> 0) THEN round(value::DECIMAL(18,2) * CASE currency WHEN 'JPY' THEN 1 WHEN 'KWD' THEN 1000 ELSE 100 END, 0)::BIGINT END AS amount_minor,
-    currency = 'JPY' AND (action = 'create' OR (action = 'update' AND i % 3 <> 0)) AND value::DECIMAL(18,2) <> round(value::DECIMAL(18,2), 0) AS rounded,
-    CASE WHEN NOT (action = 'update' AND i % 5 = 0) THEN (ts::DATE + (k % 7)::INTEGER)::DATE END AS date,
+    currency, CASE WHEN action = 'create' OR (action = 'update' AND i % 3 <> 0) THEN round(said * CASE currency WHEN 'JPY' THEN 1 WHEN 'KWD' THEN 1000 ELSE 100 END, 0)::BIGINT END AS amount_minor,
+    currency = 'JPY' AND (action = 'create' OR (action = 'update' AND i % 3 <> 0)) AND said <> round(said, 0) AS rounded,
+    CASE WHEN NOT (action = 'update' AND i % 5 = 0) THEN CASE WHEN i % 19 = 0 THEN DATE '2024-01-02' + (i % 2)::INTEGER WHEN i % 58 = 0 THEN ts::DATE - 400 WHEN i % 29 = 0 THEN ts::DATE - 200 ELSE ts::DATE + (k % 7)::INTEGER END END::DATE AS date,
     CASE WHEN i % 4 <> 0 THEN 'C' || (i % 3) END AS category, CASE WHEN i % 4 <> 0 THEN 'M' || (i % 5) END AS merchant,
     CASE WHEN i % 13 = 0 THEN 'T' || ((k + 1) % 20) END AS parent_transaction_id
   FROM (
-    SELECT event_id AS i, ts, user_id, value, regexp_extract(props, '[0-9]+')::BIGINT AS k,
+    SELECT event_id AS i, ts, user_id, regexp_extract(props, '[0-9]+')::BIGINT AS k,
+      CASE WHEN event_id % 19 = 0 THEN 10000 + event_id % 3 * 1000 WHEN event_id % 11 = 0 THEN -value ELSE value END::DECIMAL(18,2) AS said,
       CASE WHEN event_type IN ('signup', 'purchase') THEN 'create' WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS action,
       CASE event_id % 4 WHEN 0 THEN 'user_edit' WHEN 1 THEN 'third_party' WHEN 2 THEN 'bank_sync' ELSE 'unknown' END AS source,
       CASE WHEN event_id % 17 = 0 THEN 'premium' ELSE 'standard' END AS role,
@@ -140,7 +150,7 @@ def rejects_by_code(spark, d):
 
 @_query("dedupe_first_arrival", f"WITH {_FEED} SELECT seq, event_id FROM ev")
 def dedupe_first_arrival(spark, d):
-    return _events(spark, d).select("seq", "event_id")
+    return _first(spark, d).select("seq", "event_id")
 
 
 @_query("duplicate_events", f"WITH {_FEED} SELECT seq, event_id, 'ignored' AS decision, 'R1_DUPLICATE_EVENT' AS rule FROM good WHERE seq NOT IN (SELECT seq FROM ev)")
@@ -164,14 +174,14 @@ def _state_rows(states: DataFrame) -> DataFrame:
     return states.select(*(c.strip() for c in _STATE.split(",")))
 
 
-@_query("field_winners", f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev WHERE action <> 'delete'), {_fold_sql('log')} SELECT user_key, transaction_key, {', '.join(_OWNERS.values())} FROM state")
+@_query("field_winners", f"{_FINAL} SELECT user_key, transaction_key, {', '.join(_OWNERS.values())} FROM state")
 def field_winners(spark, d):
-    return fold.fast_folded(_no_delete(spark, d), OPEN).select("user_key", "transaction_key", *(F.col(f"{g}_owner.event_id").alias(n) for g, n in _OWNERS.items()))
+    return _states(spark, d).select("user_key", "transaction_key", *(F.col(f"{g}_owner.event_id").alias(n) for g, n in _OWNERS.items()))
 
 
 @_query("date_winner", f"WITH {_FEED} SELECT user_key, transaction_key, arg_max(date, {_DATE_PREC}) AS date, arg_max(authority, {_DATE_PREC}) AS authority FROM ev WHERE date IS NOT NULL AND action <> 'delete' GROUP BY ALL")
 def date_winner(spark, d):
-    return fold.fast_folded(_no_delete(spark, d).where("date IS NOT NULL"), OPEN).select("user_key", "transaction_key", "date", F.col("date_owner.authority").alias("authority"))
+    return fold.fast_folded(_events(spark, d).where("action <> 'delete' AND date IS NOT NULL"), OPEN).select("user_key", "transaction_key", "date", F.col("date_owner.authority").alias("authority"))
 
 
 @_query("fold_fast_path", f"WITH RECURSIVE {_FEED}, log AS (SELECT *, txn AS g FROM ev WHERE txn NOT IN (SELECT txn FROM ev WHERE action = 'delete')), {_fold_sql('log')} SELECT {_STATE} FROM state")
@@ -202,40 +212,50 @@ def guarded_states(spark, d):
     return _state_rows(history.final_states(_events(spark, d), DEFAULT))
 
 
-@_query("locked_period_blocks", f"WITH {_FEED}, one AS (SELECT *, row_number() OVER (PARTITION BY txn ORDER BY event_ts, rank, event_id) AS n, count(*) FILTER (WHERE action = 'delete') OVER (PARTITION BY txn) AS dels FROM ev), x AS (SELECT a.event_id, a.seq, arg_max(b.date, printf('%05d|%06d|%s', b.authority, 100000 - (b.date - DATE '1970-01-01'), b.prec)) AS held FROM one a JOIN one b ON a.txn = b.txn AND b.n < a.n AND b.date IS NOT NULL WHERE a.action = 'delete' AND a.dels = 1 GROUP BY ALL) SELECT event_id, seq, held FROM x WHERE held BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+@_query("locked_period_blocks", f"""WITH RECURSIVE {_FEED}, t AS (SELECT *, {_DATE_PREC} AS dprec, row_number() OVER (PARTITION BY txn ORDER BY event_ts, rank, event_id) AS n FROM ev), life AS (
+  SELECT txn, 0::BIGINT AS n, false AS del, NULL::VARCHAR AS tomb, NULL::VARCHAR AS best, NULL::DATE AS held, NULL::VARCHAR AS refused, NULL::BIGINT AS seq FROM (SELECT DISTINCT txn FROM t)
+  UNION ALL
+  SELECT txn, n, CASE WHEN action = 'delete' THEN NOT stop OR del ELSE del AND NOT beats END, CASE WHEN action = 'delete' AND NOT stop THEN prec WHEN action <> 'delete' AND del AND beats THEN NULL ELSE tomb END,
+    CASE WHEN takes THEN dprec ELSE best END, CASE WHEN takes THEN date ELSE held END, CASE WHEN stop THEN event_id END, seq
+  FROM (SELECT *, NOT stop AND NOT (action = 'update' AND del AND NOT beats) AND date IS NOT NULL AND (best IS NULL OR dprec > best) AS takes FROM (
+    SELECT t.txn, t.n, t.seq, t.action, t.prec, t.dprec, t.date, t.event_id, del, tomb, best, held, tomb IS NULL OR t.prec > tomb AS beats, t.action = 'delete' AND coalesce(held BETWEEN DATE '2024-01-05' AND DATE '2024-01-12', false) AS stop
+    FROM life JOIN t ON t.txn = life.txn AND t.n = life.n + 1))
+) SELECT refused AS event_id FROM life WHERE refused IS NOT NULL""")
 def locked_period_blocks(spark, d):
-    """Deletes that a locked period refuses, in logs with one delete (before it nothing is blocked)."""
-    e = _events(spark, d)
-    one = e.groupBy(*fold.KEYS).agg(F.count_if(F.col("action") == "delete").alias("n")).where("n = 1").select(*fold.KEYS)
-    logs = e.join(one, list(fold.KEYS), "left_semi").withColumn("parent_transaction_id", F.lit(None).cast("string"))
-    log = logs.groupBy(*fold.KEYS).agg(F.array_sort(F.collect_list(fold.log_entry())).alias("log"))
-    log = log.withColumn("del", F.filter("log", lambda x: x["rank"] == 2)[0])
-    log = log.withColumn("upto", F.filter("log", lambda x: F.struct(x["event_ts"], x["rank"], x["event_id"]) < F.struct(F.col("del.event_ts"), F.col("del.rank"), F.col("del.event_id"))))
-    both = log.withColumns({"held": fold.fold_log(F.col("upto"), F.col("user_key"), LOCKED)["date"], "all": fold.fold_log(F.col("log"), F.col("user_key"), LOCKED, F.col("del.event_id"))})
-    return both.where(F.col("all.blocked") == "delete_blocked_by_dependencies").select("del.event_id", "del.seq", "held")
-
-
-@_query("tie_conflicts", f"""WITH {_FEED}, x AS (
-  SELECT a.txn, a.authority, a.event_ts, a.amount_minor, arg_max(b.amount_minor, b.prec) AS held, arg_max(b.authority, b.prec) AS held_authority, arg_max(b.event_ts, b.prec) AS held_ts
-  FROM ev a JOIN ev b ON a.txn = b.txn AND (b.event_ts, b.rank, b.event_id) < (a.event_ts, a.rank, a.event_id) AND b.amount_minor IS NOT NULL
-  WHERE a.amount_minor IS NOT NULL AND a.txn NOT IN (SELECT txn FROM ev WHERE action = 'delete') GROUP BY ALL)
-SELECT 'authority_tie' AS type, 'amount' AS field, count(*) AS n FROM x WHERE held <> amount_minor AND held_authority = authority AND held_ts = event_ts HAVING count(*) > 0""")
+    """Deletes that a locked period refuses, in the final timeline of every log."""
+    return fold.folded(_events(spark, d), LOCKED).select(F.explode("conflicts").alias("c")).where("c.type = 'delete_blocked'").select("c.event_id")
+
+
+def _held(c: str, prec: str = "prec") -> str:
+    return f"arg_max(struct_pack(v := {c}, a := authority, s := event_ts, c := currency), {prec}) FILTER (WHERE {c} IS NOT NULL) OVER w"
+
+
+#: Every conflict of the final fold of every log: what an event meets is the winner among the unblocked ones before it.
+_CONFLICTS = f"""{_FINAL}, met AS (
+  SELECT t.*, {_held('amount_minor')} AS amount_h, {_held('date', _DATE_PREC)} AS date_h, {_held('category')} AS category_h, {_held('merchant')} AS merchant_h, {_held('parent_transaction_id')} AS parent_h
+  FROM t JOIN life ON t.g = life.g AND t.n = life.n AND NOT blocked WINDOW w AS (PARTITION BY t.g ORDER BY t.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), conflicts AS (
+  SELECT 'authority_tie' AS type, 'amount' AS field, event_id, '' AS detail FROM met WHERE amount_minor <> amount_h.v AND authority = amount_h.a AND event_ts = amount_h.s
+  UNION ALL SELECT 'authority_tie', 'date', event_id, '' FROM met WHERE date <> date_h.v AND authority = date_h.a AND event_ts = date_h.s
+  UNION ALL SELECT 'authority_tie', 'category', event_id, '' FROM met WHERE category <> category_h.v AND authority = category_h.a AND event_ts = category_h.s
+  UNION ALL SELECT 'authority_tie', 'merchant', event_id, '' FROM met WHERE merchant <> merchant_h.v AND authority = merchant_h.a AND event_ts = merchant_h.s
+  UNION ALL SELECT 'authority_tie', 'parent_transaction_id', event_id, '' FROM met WHERE parent_transaction_id <> parent_h.v AND authority = parent_h.a AND event_ts = parent_h.s
+  UNION ALL SELECT 'currency_mismatch', 'currency', event_id, amount_h.c || '|' || currency FROM met WHERE amount_minor <> amount_h.v AND currency <> amount_h.c
+)"""
+
+
+def _conflicts(spark, d) -> DataFrame:
+    return fold.folded(_events(spark, d), OPEN).select(F.explode("conflicts").alias("c")).select("c.*")
+
+
+@_query("tie_conflicts", f"{_CONFLICTS} SELECT field, event_id FROM conflicts WHERE type = 'authority_tie'")
 def tie_conflicts(spark, d):
-    """Ties over amounts in logs without a delete; the feed has none, the tests do."""
-    e = _events(spark, d)
-    deleted = e.where("action = 'delete'").select(*fold.KEYS).distinct()
-    return fold.folded(e.join(deleted, list(fold.KEYS), "left_anti"), OPEN).select(F.explode("conflicts").alias("c")).where("c.type = 'authority_tie' AND c.field = 'amount'").groupBy("c.type", "c.field").agg(F.count(F.lit(1)).alias("n"))
+    return _conflicts(spark, d).where("type = 'authority_tie'").select("field", "event_id")
 
 
-@_query("currency_mismatch", f"""WITH {_FEED}, x AS (
-  SELECT a.event_id, a.txn, a.currency AS incoming, a.amount_minor, arg_max(b.currency, b.prec) AS existing, arg_max(b.amount_minor, b.prec) AS held
-  FROM ev a JOIN ev b ON a.txn = b.txn AND (b.event_ts, b.rank, b.event_id) < (a.event_ts, a.rank, a.event_id) AND b.amount_minor IS NOT NULL
-  WHERE a.amount_minor IS NOT NULL AND a.txn NOT IN (SELECT txn FROM ev WHERE action = 'delete') GROUP BY ALL)
-SELECT event_id, existing || '|' || incoming AS detail FROM x WHERE existing <> incoming AND held <> amount_minor""")
+@_query("currency_mismatch", f"{_CONFLICTS} SELECT event_id, detail FROM conflicts WHERE type = 'currency_mismatch'")
 def currency_mismatch(spark, d):
-    e = _events(spark, d)
-    deleted = e.where("action = 'delete'").select(*fold.KEYS).distinct()
-    return fold.folded(e.join(deleted, list(fold.KEYS), "left_anti"), OPEN).select(F.explode("conflicts").alias("c")).where("c.type = 'currency_mismatch'").select("c.event_id", "c.detail")
+    return _conflicts(spark, d).where("type = 'currency_mismatch'").select("event_id", "detail")
 
 
 # ---- arrivals ----
@@ -259,8 +279,28 @@ def change_ops(spark, d):
     return _history(spark, d).groupBy("action", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("decision_counts")
+#: What each event did at its arrival: its place in the timeline then, what it owned and what it did not.
+_DECIDED = f"""{_PREFIXES}, mine AS (SELECT t.g, t.n, blocked, t.seq, len(list_filter([t.amount_minor IS NOT NULL, t.date IS NOT NULL, t.category IS NOT NULL, t.merchant IS NOT NULL, t.parent_transaction_id IS NOT NULL], lambda x: x)) AS asserted
+  FROM t JOIN life ON t.g = life.g AND t.n = life.n WHERE t.seq = t.at_seq
+), said AS (
+  SELECT h.*, mine.n, mine.blocked, mine.asserted, len(list_filter([amount_event, date_event, category_event, merchant_event, parent_event], lambda x: x = h.event_id)) AS owns,
+    len(list_filter([amount_event, date_event, category_event, merchant_event, parent_event], lambda x: x IS NOT NULL)) AS fields
+  FROM h JOIN mine ON h.seq = mine.seq
+), told AS (
+  SELECT *, {_OP} AS op, CASE WHEN blocked THEN 0 ELSE owns END AS won, CASE WHEN blocked THEN 0 ELSE asserted - owns END AS lost FROM said
+)"""
+
+
+@_query("decision_counts", f"""{_DECIDED} SELECT decision, rule, count(*) AS n FROM (SELECT
+  CASE WHEN blocked OR op = 'none' THEN 'ignored' WHEN op IN ('created', 'deleted') THEN op WHEN op = 'restored' THEN 'merged' WHEN fields > 0 AND owns = fields THEN 'replaced' ELSE 'merged' END AS decision,
+  CASE WHEN blocked OR op = 'deleted' THEN 'R7_DELETE_APPLIED' WHEN action = 'create' THEN CASE WHEN b IS NULL THEN 'R3_CREATE_NEW' ELSE 'R4_CREATE_DUPLICATE' END
+    WHEN action = 'update' THEN CASE WHEN n = 1 THEN 'R6_UPDATE_BEFORE_CREATE' ELSE 'R5_UPDATE_MERGE' END WHEN n = 1 THEN 'R9_DELETE_BEFORE_CREATE' ELSE 'R7_DELETE_APPLIED' END AS rule FROM told) GROUP BY ALL""")
 def decision_counts(spark, d):
+    return _history(spark, d).groupBy("decision", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("guarded_decisions")
+def guarded_decisions(spark, d):
     return history.history(_events(spark, d), DEFAULT).groupBy("decision", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -299,9 +339,9 @@ def lifecycle_counts(spark, d):
     return rollups.lifecycle_counts(_states(spark, d))
 
 
-@_query("book_totals", f"{_FINAL} SELECT count(DISTINCT user_key) AS n_users, count(*) AS n_transactions, count(*) FILTER (WHERE NOT deleted) AS n_live, sum(n_events)::BIGINT AS n_events, 0::BIGINT AS n_conflicts FROM state")
+@_query("book_totals", f"{_CONFLICTS} SELECT count(DISTINCT user_key) AS n_users, count(*) AS n_transactions, count(*) FILTER (WHERE NOT deleted) AS n_live, sum(n_events)::BIGINT AS n_events, (SELECT count(*) FROM conflicts) AS n_conflicts FROM state")
 def book_totals(spark, d):
-    return rollups.book_totals(_states(spark, d))
+    return rollups.book_totals(fold.folded(_events(spark, d), OPEN))
 
 
 @_query("near_duplicates", f"{_FINAL} SELECT a.user_key, a.transaction_key, a.amount_minor, a.date, a.currency, count(*) AS match_count FROM state a JOIN state b ON a.user_key = b.user_key AND a.amount_minor = b.amount_minor AND a.date = b.date AND a.currency = b.currency AND a.transaction_key <> b.transaction_key WHERE NOT a.deleted AND NOT b.deleted GROUP BY ALL")
@@ -353,7 +393,7 @@ for _name, (_code, _severity, _where) in _ANOMALIES.items():
     _query(f"anomaly_{_name}", f"{_PREFIXES} SELECT seq, event_id, {_severity} AS severity FROM h WHERE {_where}")(lambda spark, d, code=_code: _flag_rows(spark, d, code))
 
 
-@_query("anomaly_contradiction")
+@_query("anomaly_contradiction", f"{_DECIDED} SELECT seq, event_id, 'low' AS severity FROM told WHERE lost > 0 AND won = 0 AND source <> 'user_edit'")
 def anomaly_contradiction(spark, d):
     return _flag_rows(spark, d, "A_LOW_AUTHORITY_CONTRADICTION")
 
@@ -370,9 +410,18 @@ def audit_chain(spark, d):
     return _chain(spark, d).select("position", "seq", "prev_hash", "record_hash")
 
 
-@_query("chain_breaks", "SELECT 0::BIGINT AS position, ''::VARCHAR AS kind WHERE false")
+@_query("chain_breaks", f"""WITH {_FEED}, p AS (SELECT unnest(range(1, (SELECT count(*) FROM ev) + 1)) AS position)
+SELECT position, CASE WHEN position % 97 = 0 THEN 'record_hash' ELSE 'prev_hash' END AS kind FROM p WHERE position % 97 = 0 OR position % 101 = 0 OR (position > 101 AND position % 101 = 1 AND (position - 1) % 97 <> 0)""")
 def chain_breaks(spark, d):
-    return audit.breaks(_chain(spark, d))
+    """What verification finds in a forged chain: some bodies altered, some records sealed anew behind another one."""
+    chain, at = _chain(spark, d), F.col("position")
+    altered, moved = (at > 0) & (at % 97 == 0), (at > 0) & (at % 101 == 0) & (at % 97 != 0)
+    other = F.lit("f" * 64)
+    forged = chain.withColumns({
+        "body": F.when(altered, F.concat("body", F.lit(" "))).otherwise(F.col("body")), "prev_hash": F.when(moved, other).otherwise(F.col("prev_hash")),
+        "record_hash": F.when(moved, canon.chained(other, F.col("body"))).otherwise(F.col("record_hash")),
+    })
+    return audit.breaks(forged)
 
 
 @_query("replay_diff")
@@ -384,7 +433,8 @@ def replay_diff(spark, d):
 
 @_query("audit_summary")
 def audit_summary(spark, d):
-    return audit.summary(_history(spark, d))
+    h = _history(spark, d)
+    return audit.summary(anomalies.flagged(h, OPEN, anomalies.near_duplicates_at(h)))
 
 
 @_query("authority_view", f"{_FINAL}, x AS (SELECT user_key, transaction_key, unnest([struct_pack(f := 'amount', e := amount_event), struct_pack(f := 'date', e := date_event), struct_pack(f := 'category', e := category_event), struct_pack(f := 'merchant', e := merchant_event), struct_pack(f := 'parent_transaction_id', e := parent_event)]) AS o FROM state) SELECT x.user_key, x.transaction_key, o.f AS field, ev.authority, o.e AS event_id FROM x JOIN ev ON ev.event_id = o.e")
@@ -426,6 +476,78 @@ def stable_ids(spark, d):
     return made.select(F.col("seq").alias("o_orderkey"), F.col("transaction_id").alias("surrogate"))
 
 
+#: Rows with one fault each, by the order's number.
+_FAULTS = (
+    ("user_id", " ", "E_MISSING_USER"), ("action", "frobnicate", "E_BAD_ACTION"), ("currency", "dollars", "E_BAD_CURRENCY"), ("amount", "12,34x", "E_BAD_AMOUNT"), ("amount", None, "E_MISSING_AMOUNT"),
+    ("amount", "9999999999999", "E_AMOUNT_RANGE"), ("date", "2024-02-30", "E_BAD_DATE"), ("date", "03/04/2024", "E_AMBIGUOUS_DATE"), ("date", "1890-01-01", "E_DATE_RANGE"), ("date", None, "E_MISSING_DATE"),
+    ("event_ts", "yesterday", "E_BAD_EVENT_TS"), ("action", None, "E_MISSING_ACTION"),
+)
+
+
+@_query("row_faults", f"SELECT code, 'error' AS severity, count(*) AS n FROM (SELECT CASE o_orderkey % {len(_FAULTS)} {' '.join(f"WHEN {i} THEN '{c}'" for i, (_, _, c) in enumerate(_FAULTS))} END AS code FROM orders) GROUP BY ALL")
+def row_faults(spark, d):
+    rows = feeds.orders_feed(spark, d).withColumn("source", F.lit("bank"))
+    for i, (field, text, _) in enumerate(_FAULTS):
+        rows = rows.withColumn(field, F.when(F.col("seq") % len(_FAULTS) == i, F.lit(text)).otherwise(F.col(field)))
+    issues = normalize.normalized(rows, OPEN).select(F.explode("issues").alias("i")).where("i.severity = 'error'")
+    return issues.groupBy("i.code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _customers(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select(F.col("c_custkey").cast("string").alias("uid"), F.concat(F.lit('x,"'), "c_name", F.lit('"\u00e9')).alias("payee"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("cat"))
+
+
+_CUSTOMERS = """SELECT c_custkey::VARCHAR AS user_id, 'x,"' || c_name || '"\u00e9' AS merchant, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS category FROM customer"""
+
+
+def _read_back(spark, path: str) -> DataFrame:
+    rows = normalize.remap_maps(readers.read_files(spark, [path]))
+    return rows.select("user_id", "merchant", F.nullif("category", F.lit("")).alias("category"))
+
+
+@_query("read_csv", _CUSTOMERS)
+def read_csv(spark, d):
+    path = shared_path(spark, "csv")
+    _customers(spark, d).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return _read_back(spark, path + "/*.csv")
+
+
+@_query("read_jsonl", _CUSTOMERS)
+def read_jsonl(spark, d):
+    path = shared_path(spark, "jsonl")
+    rows = _customers(spark, d)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    return normalize.remap_maps(readers.read_files(spark, [path + "/*.txt"], kind="jsonl")).select("user_id", "merchant", "category")
+
+
+@_query("read_json", _CUSTOMERS)
+def read_json(spark, d):
+    """One wrapped array for each file."""
+    path = shared_path(spark, "json")
+    rows = _customers(spark, d).withColumn("part", F.pmod(F.hash("uid"), F.lit(4)))
+    arrays = rows.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("uid", "payee", "cat")).alias("rows"))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return normalize.remap_maps(readers.read_files(spark, [path + "/*/*.txt"], kind="json")).select("user_id", "merchant", "category")
+
+
+@_query("store_scan", f"WITH {_FEED} SELECT user_key, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY user_key")
+def store_scan(spark, d):
+    """Two batches appended to a store, the second one with all of the first again; then a scan."""
+    events = _events(spark, d)
+    held = store.ParquetStore(spark, shared_path(spark, "store"))
+    held.add_events(events.where("seq % 2 = 0"))
+    held.add_events(events)
+    return held.read("events").groupBy("user_key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@_query("record_hashes", "SELECT o_orderkey, sha256(repeat('0', 64) || chr(31) || '{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}') AS record_hash FROM orders")
+def record_hashes(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    body = canon.resorted(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("id"))))
+    return o.select("o_orderkey", canon.chained(F.lit(audit.GENESIS), body).alias("record_hash"))
+
+
 @_query("state_hash")
 def state_hash(spark, d):
     return rollups.state_hashes(_states(spark, d).where(F.col("account_id").isNull()))

@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Rules
@@ -137,21 +137,42 @@ def read_files(spark: SparkSession, paths: list[str], rules: Rules = DEFAULT, ki
     failed = rows.where("error IS NOT NULL").select("path", "error").head(1)
     if failed:
         raise InputError(f"{failed[0].path}: {failed[0].error}", path=failed[0].path)
-    place = F.lit(len(paths))
-    for i, p in reversed(list(enumerate(paths))):
-        place = F.when(F.col("path").endswith(p.rsplit("/", 1)[-1]) & F.col("path").contains(p.removeprefix("file:")), i).otherwise(place)
-    rows = rows.where("data IS NOT NULL").withColumn("__place", place)
+    # Files stand in the order of the paths that name them, and by their own names where a path names several.
+    order = {f: i for i, f in enumerate(_expanded(spark, paths))}
+    places = spark.createDataFrame(list(order.items()), "__file string, __place long")
+    rows = rows.where("data IS NOT NULL").join(places, F.col("path") == F.col("__file"))
     # Lines of a file are below 2**40, so place and line make one rising number without a sort.
-    seq = F.col("__place").cast("long") * F.lit(1 << 40) + F.col("line")
+    seq = F.col("__place") * F.lit(1 << 40) + F.col("line")
     return rows.select(seq.alias("seq"), F.concat_ws(":", F.lit("file"), F.col("path"), F.col("line").cast("string")).alias("origin"), "data")
 
 
+def _expanded(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The full names of the files that the paths (files, folders, globs) stand for, each once, at its first place."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, None] = {}
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        for found in fs.globStatus(path) or []:
+            inner = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            names = sorted((f.getPath().toString(), f.getPath().getName()) for f in inner if f.isFile())
+            out.update(dict.fromkeys(full for full, name in names if not name.startswith(("_", "."))))
+    return list(out)
+
+
 def read_memory(spark: SparkSession, rows: list[dict], origin: str = "api") -> DataFrame:
     data = [(i, f"{origin}:{i}", {str(k): _text(v) for k, v in r.items()}) for i, r in enumerate(rows, 1)]
     return spark.createDataFrame(data, "seq long, origin string, data map<string,string>")
 
 
 def bulk_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Well-formed CSV of any size, split within files; seq follows file and offset order."""
+    """Well-formed CSV of any size, split within files; seq follows the files' names, then the place in the file."""
     rows = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
-    return rows.select(F.monotonically_increasing_id().alias("seq"), F.lit("csv").alias("origin"), *rows.columns)
+    names = rows.columns
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__nth"))
+    # Splits are packed by size, so a split's first row and its number of rows tell where it stands: one small row for each.
+    split = rows.groupBy("__file", "__start").agg(F.min("__nth").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
+    split = split.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    seq = F.col("__before") + F.col("__nth") - F.col("__first") + 1
+    return rows.join(split, ["__file", "__start"]).select(seq.alias("seq"), F.lit("csv").alias("origin"), *names)
