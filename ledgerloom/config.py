@@ -50,6 +50,7 @@ class Period:
             raise RulesError(f"period starts {self.start} after its end {self.end}")
 
 
+# Names and defaults of thresholds and switches.
 @dataclass(frozen=True)
 class Thresholds:
     """Bounds of the anomaly rules; amounts in minor units."""
@@ -124,7 +125,9 @@ class Rules:
 
     @classmethod
     def from_dict(cls, said: Mapping) -> Rules:
-        said = {k: v for k, v in said.items() if k in {f.name for f in dataclasses.fields(cls)}}
+        said = dict(said)
+        if unknown := said.keys() - {f.name for f in dataclasses.fields(cls)}:
+            raise RulesError(f"unknown rules: {sorted(unknown)}")
         for k in ("min_date", "max_date"):
             if isinstance(said.get(k), str):
                 said[k] = date.fromisoformat(said[k])

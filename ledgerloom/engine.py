@@ -13,25 +13,26 @@ from .config import DEFAULT, Rules
 from .errors import ReplayMismatch
 from .operators import anomalies, audit, history, normalize, rollups
 from .sources.readers import read_files, read_memory
+from .sources.scratch import written
 from .sources.store import Store, open_store
 
 
 class Batch:
-    """What one batch did: accepted events, duplicates, rejects, decisions."""
+    """What one batch did: accepted events, duplicates, rejects, decisions; raw has each offered row (seq, raw) as it came."""
 
-    def __init__(self, rows: DataFrame, accepted: DataFrame, duplicates: DataFrame, decisions: DataFrame):
-        self.rows, self.accepted, self.duplicates, self.decisions = rows, accepted, duplicates, decisions
+    def __init__(self, rows: DataFrame, accepted: DataFrame, duplicates: DataFrame, decisions: DataFrame, raw: DataFrame):
+        self.rows, self.accepted, self.duplicates, self.decisions, self.raw = rows, accepted, duplicates, decisions, raw
         self.rejected = rows.where(~F.col("accepted"))
 
     def counts(self) -> dict[str, int]:
         return {"accepted": self.accepted.count(), "duplicates": self.duplicates.count(), "rejected": self.rejected.count()}
 
     def status(self) -> int:
-        """200 if all went in, 207 if some did, 409 if all were known, 400 if none could be read."""
+        """200 if any row went in, 409 if all that could be read were known, 400 if none could be read or none came."""
         c = self.counts()
         if c["accepted"]:
-            return 207 if c["rejected"] else 200
-        return 409 if c["duplicates"] and not c["rejected"] else 400 if c["rejected"] else 200
+            return 200
+        return 409 if c["duplicates"] and not c["rejected"] else 400
 
     def all_decisions(self) -> DataFrame:
         """One row for each offered row: the decisions, R1 for duplicates and R2 for rejects."""
@@ -39,8 +40,7 @@ class Batch:
         done = self.decisions.withColumn("status", F.lit(200)).select(cols)
         known = self.duplicates.select("seq", "event_id", F.lit("ignored").alias("decision"), F.lit("R1_DUPLICATE_EVENT").alias("rule"), F.lit("duplicate_event_id").alias("reason"), F.lit(409).alias("status"))
         codes = F.array_join(F.array_distinct(F.transform(F.filter("issues", lambda i: i["severity"] == "error"), lambda i: i["code"])), ";")
-        raw = F.map_from_arrays(F.array(*map(F.lit, ("origin", "seq"))), F.array(F.col("origin"), F.col("seq").cast("string")))
-        bad = self.rejected.select("seq", normalize.rejection_id(raw).alias("event_id"), F.lit("rejected").alias("decision"), F.lit("R2_SCHEMA_REJECT").alias("rule"), codes.alias("reason"), F.lit(400).alias("status"))
+        bad = self.rejected.join(self.raw, "seq").select("seq", normalize.rejection_id(F.col("raw")).alias("event_id"), F.lit("rejected").alias("decision"), F.lit("R2_SCHEMA_REJECT").alias("rule"), codes.alias("reason"), F.lit(400).alias("status"))
         return done.unionByName(known).unionByName(bad)
 
 
@@ -49,21 +49,29 @@ class Engine:
         self.spark, self.rules = spark, rules
         self.store = store or open_store(spark)
 
-    def ingest(self, rows: DataFrame, full_unicode: bool = False) -> Batch:
-        """rows: seq, origin and either a map ``data`` or columns under known headers. seq is moved behind what the store holds."""
-        rows = normalize.remap_maps(rows) if "data" in rows.columns else normalize.remap(rows)
+    def ingest(self, rows: DataFrame, full_unicode: bool = True) -> Batch:
+        """rows: seq, origin and either a map ``data`` or columns under known headers. seq is moved behind what the store holds.
+
+        full_unicode: texts come to NFKC and ids to their case folding, over Arrow;
+        without it the native path lower-cases ids and leaves width variants.
+        """
         after = self.store.next_seq()
         low = rows.agg(F.min("seq")).first()[0] or 0
         rows = rows.withColumn("seq", F.col("seq") - low + after)
+        names = [c for c in rows.columns if c not in ("seq", "origin")]
+        raw = F.col("data") if "data" in names else F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{c}`").cast("string") for c in names)))
+        offered = rows.select("seq", raw.alias("raw"))
+        rows = normalize.remap_maps(rows) if "data" in names else normalize.remap(rows)
         ready = normalize.normalized(rows, self.rules, full_unicode).cache()
         new, duplicates = normalize.first_arrivals(ready.where("accepted"), self.store.seen_ids())
-        new = new.drop("issues", "accepted", "extra").cache()
-        new.count()
+        # Written, so that no later plan holds the parsing.
+        new = written(new.drop("issues", "accepted", "extra"), "batch")
         before = self.store.read("events")
         self.store.add_events(new)
-        everything = new if before is None else before.unionByName(new)
-        said = self.decide(everything).join(new.select("seq"), "seq", "left_semi").cache()
-        return Batch(ready, new, duplicates, said)
+        # What an event does depends on its own user's events only.
+        touched = new if before is None else before.join(new.select("user_key").distinct(), "user_key", "left_semi").unionByName(new)
+        said = self.decide(touched).join(new.select("seq"), "seq", "left_semi").cache()
+        return Batch(ready, new, duplicates, said, offered)
 
     def ingest_files(self, paths: list[str]) -> Batch:
         return self.ingest(read_files(self.spark, paths, self.rules))

@@ -68,7 +68,8 @@ def sealed(records: DataFrame, first: str, previous: str = GENESIS) -> DataFrame
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    ordered = records.select("seq", "body").coalesce(1).sortWithinPartitions("seq")
+    # An exchange parts the bodies, built in parallel, from the one task that only sorts and hashes them.
+    ordered = records.select("seq", "body").repartition(1).sortWithinPartitions("seq")
     return ordered.mapInArrow(chain, "position long, seq long, body string, prev_hash string, record_hash string")
 
 

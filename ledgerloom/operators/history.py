@@ -2,10 +2,10 @@
 
 ``history`` is native: a window gathers each transaction's log up to the event,
 and the fold runs over that prefix. It needs O(k^2) entries for a transaction of
-k events, so logs longer than ``longest`` and users whose deletes may meet
-children (a delete and a parent link, under the dependency guard) go to the
-ordered pass of ``sequential`` instead, which keeps one user's state in memory
-and needs O(k) for each event. Both give the same columns.
+k events, so logs longer than ``longest`` and transactions whose deletes may meet
+children (see ``needs_order``) go to the ordered pass of ``sequential`` instead,
+which keeps a user's such transactions in memory and needs one move for an event
+in timeline order. Both give the same columns.
 """
 
 from __future__ import annotations
@@ -29,11 +29,19 @@ def _snapshot() -> Column:
 
 
 def needs_order(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGEST) -> DataFrame:
-    """(user_key) of the users that only the ordered pass can do right or cheaply."""
-    by_txn = events.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("action") == "delete").alias("deletes"), F.max(F.col("parent_transaction_id").isNotNull()).alias("parents"))
-    by_user = by_txn.groupBy("user_key").agg(F.max("n").alias("n"), F.max("deletes").alias("deletes"), F.max("parents").alias("parents"))
-    guarded = F.col("deletes") & F.col("parents") & F.lit(rules.enforce_delete_dependencies)
-    return by_user.where(guarded | (F.col("n") > longest)).select("user_key")
+    """The keys of the transactions that only the ordered pass can do right or cheaply.
+
+    Long ones; those with a delete that another one points at; and those that
+    point at one of these, as its deletes depend on whether they are live.
+    """
+    by_txn = events.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("action") == "delete").alias("deletes"))
+    long = by_txn.where(F.col("n") > longest).select(*KEYS)
+    if not rules.enforce_delete_dependencies:
+        return long
+    pointing = events.where(F.col("parent_key").isNotNull()).select(*KEYS, "parent_key").distinct()
+    guarded = by_txn.where("deletes").join(pointing.select("user_key", F.col("parent_key").alias("transaction_key")), list(KEYS), "left_semi").select(*KEYS)
+    children = pointing.join(guarded.withColumnRenamed("transaction_key", "parent_key"), ["user_key", "parent_key"], "left_semi").select(*KEYS)
+    return long.unionByName(guarded).unionByName(children).distinct()
 
 
 def arrivals(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -128,8 +136,8 @@ def history(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGEST) -
     from .sequential import ordered_arrivals
 
     ordered = needs_order(events, rules, longest)
-    native = arrivals(events.join(ordered, "user_key", "left_anti"), rules)
-    passed = ordered_arrivals(events.join(ordered, "user_key", "left_semi"), rules, native.schema)
+    native = arrivals(events.join(ordered, list(KEYS), "left_anti"), rules)
+    passed = ordered_arrivals(events.join(ordered, list(KEYS), "left_semi"), rules, native.schema)
     return labelled(_with_ownership(_with_diff(native.unionByName(passed))))
 
 
@@ -144,10 +152,10 @@ def final_states(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGE
     from .sequential import ordered_arrivals
 
     ordered = needs_order(events, rules, longest)
-    plain = folded(events.join(ordered, "user_key", "left_anti"), rules)
+    plain = folded(events.join(ordered, list(KEYS), "left_anti"), rules)
     names = plain.columns
     schema = arrivals(events, rules).schema
-    rows = ordered_arrivals(events.join(ordered, "user_key", "left_semi"), rules, schema)
+    rows = ordered_arrivals(events.join(ordered, list(KEYS), "left_semi"), rules, schema)
     last = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in KEYS)), "seq").alias("r")).select(*KEYS, "r.*").where("exists")
     return plain.unionByName(last.select(*names))
 

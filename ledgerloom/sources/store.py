@@ -1,4 +1,4 @@
-"""Tables of the engine as Parquet folders, or as cached views for short work.
+"""Tables of the engine as Parquet folders, or in scratch space for short work.
 
 Events and decisions are appended; the materialized state is replaced as a
 whole: it is written to a new version folder, and a pointer row appended last
@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..errors import DuplicateEvent, StoreError
+from .scratch import shared_path
 
 #: Folders that a user's rows are dealt to, so that reading one user opens a part.
 BUCKETS = 64
@@ -42,7 +44,9 @@ class Store:
     def add_events(self, events: DataFrame, strict: bool = False) -> DataFrame:
         """Append the events whose ids are new and return them. strict: a known id raises."""
         held = self.read("events")
-        new = events.dropDuplicates(["event_id"])
+        # Of rows that share an id the first arrival counts.
+        nth = F.row_number().over(Window.partitionBy("event_id").orderBy("seq"))
+        new = events.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
         if held is not None:
             if strict and (hit := new.join(held.select("event_id"), "event_id", "left_semi").head(1)):
                 raise DuplicateEvent(f"event {hit[0].event_id} is in the store", event_id=hit[0].event_id)
@@ -133,25 +137,29 @@ class Store:
 
 
 class MemoryStore(Store):
-    """Tables as cached DataFrames of this session."""
+    """Tables of this session only, in its scratch folder: a plan over them is one scan, however many batches came."""
 
     def __init__(self, spark: SparkSession):
         super().__init__(spark)
-        self._tables: dict[str, DataFrame] = {}
+        self._tables: dict[str, list[str]] = {}
+        self._schemas: dict[str, StructType] = {}
 
     def read(self, name: str) -> DataFrame | None:
-        return self._tables.get(name)
+        return self.spark.read.schema(self._schemas[name]).parquet(*self._tables[name]) if name in self._tables else None
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self._schemas[name] = df.schema
+        return path
 
     def append(self, name: str, df: DataFrame) -> None:
-        held = self._tables.get(name)
-        self._tables[name] = (df if held is None else held.unionByName(df)).cache()
+        self._tables[name] = [*self._tables.get(name, []), self._write(name, df)]
 
     def replace(self, name: str, df: DataFrame) -> None:
-        self._tables[name] = df.cache()
+        self._tables[name] = [self._write(name, df)]
 
     def close(self) -> None:
-        for df in self._tables.values():
-            df.unpersist()
         self._tables.clear()
 
 

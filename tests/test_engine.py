@@ -86,6 +86,67 @@ def test_native_and_ordered_pass_agree(spark):
         assert native.exceptAll(ordered).count() == 0 == ordered.exceptAll(native).count()
 
 
+def test_routed_and_whole_ordered_pass_agree(spark):
+    for seed in (11, 12):
+        e = events_of(spark, random_rows(seed, True)).cache()
+        routed = history.history(e)
+        whole = sequential.ordered_arrivals(e, DEFAULT, history.arrivals(e).schema)
+        keys = history.needs_order(e).count()
+        assert 0 < keys < e.select("user_key", "transaction_key").distinct().count()
+        names = ["seq", "deleted", "blocked", "lifecycle", "notes", "amount_minor", "date", "category", "is_late", "conflicts"]
+        assert routed.select(names).exceptAll(whole.select(names)).count() == 0 and routed.count() == whole.count()
+
+
+def test_one_move_an_event_equals_a_refold():
+    rows = []
+    r = random.Random(7)
+    for n in range(400):
+        t = f"t{r.randint(0, 5)}"
+        rows.append({
+            "seq": n, "event_id": f"e{n:04d}", "user_id": "u", "user_key": "u", "transaction_key": t, "transaction_id": t, "action": r.choice(["create", "update", "delete"]), "source": "bank_sync", "authority": r.choice([1, 10]),
+            "event_ts": datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=n if r.random() < 0.8 else r.randint(0, 400)), "amount_minor": r.choice([None, 1, 2]), "currency": r.choice(["USD", "JPY"]),
+            "date": r.choice([None, datetime.date(2024, 1, r.randint(1, 9))]), "category": r.choice([None, "a", "b"]), "merchant": None, "account_id": None, "parent_transaction_id": r.choice([None, None, None, f"T{r.randint(0, 5)}"]),
+        })
+    got = sequential.replay([dict(x) for x in rows], DEFAULT)
+    # The same with every log gone through anew at each arrival.
+    class Anew(sequential.Pass):
+        def arrive(self, txn, e, guarded):
+            txn.deletes, txn.guarded = 1, not guarded
+            return super().arrive(txn, e, guarded)
+
+    plain, sequential.Pass = sequential.Pass, Anew
+    try:
+        want = sequential.replay([dict(x) for x in rows], DEFAULT)
+    finally:
+        sequential.Pass = plain
+    assert got == want and any(x["blocked"] for x in got) and any(x["conflicts"] for x in got)
+
+
+def test_status_and_rejection_ids(spark):
+    e = Engine(spark)
+    bad = {"user": "u", "op": "new", "amt": "x", "date": "2024-01-01", "ts": "2024-01-01"}
+    first = e.ingest_rows([row(1, "create", 1), bad])
+    assert first.status() == 200 and e.ingest_rows([row(1, "create", 1)]).status() == 409
+    second = e.ingest_rows([bad])
+    assert second.status() == 400
+    ids = {x.event_id for b in (first, second) for x in b.all_decisions().where("decision = 'rejected'").collect()}
+    assert len(ids) == 1 and ids.pop().startswith("bad-")
+
+
+def test_order_of_files(spark, tmp_path):
+    for folder, user in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        for n in range(2):
+            (tmp_path / folder / f"x{n}.csv").write_text(f"user\nu{user}{n}a\nu{user}{n}b\n")
+    def said(*p):
+        return [x.data["user"] for x in readers.read_files(spark, [str(tmp_path / q) for q in p]).orderBy("seq").collect()]
+    assert said("b/*.csv", "a/x1.csv") == ["u20a", "u20b", "u21a", "u21b", "u11a", "u11b"]
+    rows = readers.read_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert rows.select("seq").distinct().count() == 8 and said("a", "b")[:2] == ["u10a", "u10b"]
+    bulk = readers.bulk_csv(spark, [str(tmp_path / "b" / "x0.csv"), str(tmp_path / "a" / "x0.csv")]).orderBy("seq").collect()
+    assert [(x.seq, x.user) for x in bulk] == [(1, "u10a"), (2, "u10b"), (3, "u20a"), (4, "u20b")]
+
+
 def test_state_does_not_depend_on_arrival_order(spark):
     rows = random_rows(2, False)
     books = set()
