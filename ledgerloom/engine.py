@@ -79,10 +79,10 @@ class Engine:
     def ingest_rows(self, rows: list[dict]) -> Batch:
         return self.ingest(read_memory(self.spark, rows))
 
-    def decide(self, events: DataFrame, rules: Rules | None = None) -> DataFrame:
+    def decide(self, events: DataFrame, rules: Rules | None = None, evidence: bool = False) -> DataFrame:
         rules = rules or self.rules
         # Read twice: for the flags, and for what was live at each event.
-        h = history.history(events, rules).cache()
+        h = history.history(events, rules, evidence=evidence).cache()
         return anomalies.flagged(h, rules, anomalies.near_duplicates_at(h) if rules.detect_anomalies else None)
 
     def states(self) -> DataFrame | None:
@@ -103,17 +103,47 @@ class Engine:
         return rollups.at_version(events, history.history(events, self.rules), version, self.rules)
 
     def chain(self) -> DataFrame:
-        return audit.sealed(audit.bodies(self.decide(self.store.read("events"))), audit.header(self.rules, __version__))
+        return audit.sealed(self._bodies(), audit.header(self.rules, __version__))
+
+    def _bodies(self) -> DataFrame:
+        return audit.bodies(self.decide(self.store.read("events"), evidence=True))
+
+    def append_audit(self, batch: Batch, path: str) -> str:
+        """Add the records of a batch's events to the trail in a folder; returns its new head hash."""
+        mine = self._bodies().join(batch.accepted.select("seq"), "seq", "left_semi")
+        return audit.append_jsonl(self.spark, mine, path, audit.header(self.rules, __version__))
 
     def replay(self, rules: Rules | None = None) -> DataFrame:
         """Decisions over the stored events, under other rules if given."""
         return self.decide(self.store.read("events"), rules)
 
-    def verify(self, recorded: DataFrame, most: int = 100) -> None:
-        """Raise with up to ``most`` differences if the stored events do not lead to the recorded decisions."""
-        found = audit.replay_diff(recorded, self.replay()).limit(most).collect()
+    def verify(self, recorded: DataFrame, most: int = 100, state_hash: str | None = None, head: str | None = None) -> None:
+        """Raise with up to ``most`` differences if the stored events do not lead to the recorded decisions, state hash and audit head, as far as given."""
+        found = [r.asDict() for r in audit.replay_diff(recorded, self.replay()).limit(most).collect()]
+        for name, was, now in (("state_hash", state_hash, self.state_hash), ("audit_head", head, self.audit_head)):
+            if was is not None and was != (again := now()):
+                found.append({"seq": None, "field": name, "recorded": was, "replayed": again})
         if found:
-            raise ReplayMismatch(f"{len(found)} differences", mismatches=[r.asDict() for r in found])
+            raise ReplayMismatch(f"{len(found)} differences", mismatches=found)
+
+    def state_hash(self) -> str:
+        return rollups.book_hash(self.states())
+
+    def audit_head(self) -> str:
+        return audit.head_hash(self.chain())
+
+    def conflicts(self) -> DataFrame:
+        return rollups.conflicts(self.states())
+
+    def anomalies(self) -> DataFrame:
+        return anomalies.listed(self.decide(self.store.read("events")))
+
+    def overview(self) -> dict:
+        """The summary's counts with the state hash, the audit head and the rules' fingerprint."""
+        counts: dict = {}
+        for r in self.summary().collect():
+            counts.setdefault(r.kind, {})[r.name] = r.n
+        return counts | {"state_hash": self.state_hash(), "audit_head": self.audit_head(), "config_fingerprint": self.rules.fingerprint()}
 
     def summary(self) -> DataFrame:
         return audit.summary(self.decide(self.store.read("events")))

@@ -50,6 +50,11 @@ def flagged(history: DataFrame, rules: Rules = DEFAULT, near: DataFrame | None =
     return history.withColumn("anomalies", F.array_compact(flags)).drop("__near")
 
 
+def listed(flags: DataFrame) -> DataFrame:
+    """One row for each flag, with its event and transaction."""
+    return flags.select("seq", "event_id", "user_id", "transaction_id", F.explode("anomalies").alias("a")).select("seq", "event_id", "user_id", "transaction_id", "a.*")
+
+
 def near_duplicates_at(history: DataFrame) -> DataFrame:
     """(seq, match_count): other live transactions of the user with the same amount, date and currency, as of each event.
 

@@ -14,24 +14,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Rules
-from ..functions import dates
+from ..functions import dates, money
 from ..functions.canon import chain_hash, chained, quoted, resorted, to_text
+from .history import SNAPSHOT
 
 SCHEMA_VERSION = 1
 GENESIS = "0" * 64
-EVIDENCE = 50
 
 
 def header(rules: Rules = DEFAULT, version: str = "0.1.0") -> str:
     return to_text({"type": "header", "schema_version": SCHEMA_VERSION, "engine_version": version, "config_fingerprint": rules.fingerprint()})
 
 
-def evidence(log: Column) -> Column:
-    """The last EVIDENCE entries of a sorted log, after a note of the cut where there is one."""
-    shown = F.slice(log, F.greatest(F.size(log) - (EVIDENCE - 1), F.lit(1)), EVIDENCE)
-    items = F.transform(shown, lambda e: F.to_json(F.struct(e["event_id"].alias("event_id"), dates.format_ts(e["event_ts"]).alias("event_ts"), e["source"].alias("source"), e["authority"].alias("authority"))))
-    cut = F.array(F.to_json(F.struct(F.lit("evidence_truncated").alias("note"), F.size(log).alias("total_events"), F.lit(EVIDENCE).alias("shown"))))
-    return F.when(F.size(log) > EVIDENCE, F.concat(cut, items)).otherwise(items)
+def evidence(items: Column, n_events: Column) -> Column:
+    """JSON of a decision's evidence, after a note of the cut where the log is longer than what is shown."""
+
+    def one(e: Column) -> Column:
+        plain = [e[c].alias(c) for c in ("event_id", "action", "source", "authority", "seq", "date", "blocked")]
+        lists = [F.when(F.size(e[c]) > 0, e[c]).alias(c) for c in ("won", "lost", "lifecycle")]
+        return F.to_json(F.struct(*plain, dates.format_ts(e["event_ts"]).alias("event_ts"), F.when(e["amount_minor"].isNotNull(), money.format_amount(e["amount_minor"], e["currency"])).alias("amount"), *lists))
+
+    cut = F.to_json(F.struct(F.lit("evidence_truncated").alias("note"), n_events.alias("total_events"), F.size(items).alias("shown")))
+    texts = F.transform(items, one)
+    return F.concat(F.lit("["), F.array_join(F.when(n_events > F.size(items), F.concat(F.array(cut), texts)).otherwise(texts), ","), F.lit("]"))
+
+
+def state_diff() -> Column:
+    """JSON of what an event moved: the op, and by field the value before and after."""
+    def shown(side: str, c: str) -> Column:
+        v = F.col(f"{side}.{c}")
+        return F.coalesce(v.cast("string"), F.lit("null")) if c in ("amount_minor", "deleted", "provisional") else quoted(v.cast("string"))
+
+    parts = [F.when(~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.concat(F.lit(f'"{c}":{{"from":'), shown("before", c), F.lit(',"to":'), shown("after", c), F.lit("}"))) for c in SNAPSHOT]
+    return F.concat(F.lit('{"op":'), quoted(F.col("op")), F.lit(',"fields":{'), F.concat_ws(",", *parts), F.lit("}}"))
 
 
 def bodies(decisions: DataFrame) -> DataFrame:
@@ -42,6 +57,9 @@ def bodies(decisions: DataFrame) -> DataFrame:
     }
     parts = [F.concat(F.lit(f'"{k}":'), quoted(v)) for k, v in text.items()]
     parts += [F.concat(F.lit(f'"{k}":'), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in ("seq", "user_version", "txn_version")]
+    parts.append(F.concat(F.lit('"state_diff":'), state_diff()))
+    if "evidence" in decisions.columns:
+        parts.append(F.concat(F.lit('"evidence":'), evidence(F.col("evidence"), F.col("n_events"))))
     for k in ("changed_fields", "new_conflicts", "anomalies", "warnings"):
         if k in decisions.columns:
             parts.append(F.when(F.size(k) > 0, F.concat(F.lit(f'"{k}":'), F.to_json(k, {"ignoreNullFields": "false"}))))
@@ -49,8 +67,8 @@ def bodies(decisions: DataFrame) -> DataFrame:
     return decisions.select("seq", resorted(body).alias("body"))
 
 
-def sealed(records: DataFrame, first: str, previous: str = GENESIS) -> DataFrame:
-    """(position, seq, body, prev_hash, record_hash), the header ``first`` at position 0.
+def sealed(records: DataFrame, first: str | None, previous: str = GENESIS, start: int = 0) -> DataFrame:
+    """(position, seq, body, prev_hash, record_hash), the header ``first`` at position ``start``; without one, the chain goes on there.
 
     The one ordered pass: a chain is serial by nature. It streams, a batch at a time.
     """
@@ -58,8 +76,10 @@ def sealed(records: DataFrame, first: str, previous: str = GENESIS) -> DataFrame
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["position", "seq", "body", "prev_hash", "record_hash"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        place, head = 0, chain_hash(previous, first)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((0, None, first, previous, head), types, strict=True)], names)
+        place, head = start - 1, previous
+        if first is not None:
+            place, head = start, chain_hash(previous, first)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((place, None, first, previous, head), types, strict=True)], names)
         for batch in batches:
             rows = []
             for seq, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,19 +124,54 @@ def summary(decisions: DataFrame) -> DataFrame:
     return counted("decision", F.col("decision")).unionByName(counted("rule", F.col("rule"))).unionByName(heads).unionByName(total)
 
 
+def _lines(chain: DataFrame) -> DataFrame:
+    line = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"prev_hash":"'), F.col("prev_hash"), F.lit('","record_hash":"'), F.col("record_hash"), F.lit('"}'))
+    return chain.coalesce(1).sortWithinPartitions("position").select(line.alias("value"))
+
+
 def write_jsonl(chain: DataFrame, path: str) -> None:
     """One JSON line for each record, in order, with its hashes."""
-    line = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"prev_hash":"'), F.col("prev_hash"), F.lit('","record_hash":"'), F.col("record_hash"), F.lit('"}'))
-    chain.coalesce(1).sortWithinPartitions("position").select(line.alias("value")).write.mode("overwrite").text(path)
+    _lines(chain).write.mode("overwrite").text(path)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """The chain again. Lines keep their order within a file by their monotonic ids."""
-    lines = spark.read.option("wholetext", "false").text(path).withColumn("__id", F.monotonically_increasing_id())
+def append_jsonl(spark: SparkSession, records: DataFrame, path: str, first: str) -> str:
+    """Seal records behind what the folder holds, one subfolder a call, and return the new head; a new folder starts with the header ``first``.
+
+    Subfolders are named by the position they start at, so that names sort as the
+    chain does. A call that fails midway leaves no ``_SUCCESS`` and is replaced by
+    the next one, which starts at the same position.
+    """
+    runs = finished_runs(spark, path)
+    held = read_jsonl(spark, runs) if runs else None
+    last = None if held is None else held.agg(F.max("position").alias("p"), F.max_by("record_hash", "position").alias("h")).first()
+    start, head = (0, GENESIS) if last is None or last.p is None else (last.p + 1, last.h)
+    chain = sealed(records, first if start == 0 else None, head, start)
+    folder = f"{path}/at-{start:019d}"
+    _lines(chain).write.mode("overwrite").text(folder)
+    return head_hash(read_jsonl(spark, folder)) if records.take(1) or start == 0 else head
+
+
+def finished_runs(spark: SparkSession, path: str) -> list[str]:
+    """The finished subfolders of an appended trail, for ``read_jsonl``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        run = status.getPath()
+        if run.getName().startswith("at-") and fs.exists(jvm.org.apache.hadoop.fs.Path(run, "_SUCCESS")):
+            out.append(run.toString())
+    return sorted(out)
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The chain again: by file name, then by place in the file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    lines = lines.withColumn("__id", F.monotonically_increasing_id())
     hashes = {k: F.get_json_object("value", f"$.{k}") for k in ("prev_hash", "record_hash")}
     body = F.regexp_replace("value", r',"prev_hash":"[0-9a-f]*","record_hash":"[0-9a-f]*"\}$', "}")
-    out = lines.select("__id", F.get_json_object("value", "$.seq").cast("long").alias("seq"), body.alias("body"), *(v.alias(k) for k, v in hashes.items()))
-    return out.withColumn("position", (F.row_number().over(Window.orderBy("__id")) - 1).cast("long")).drop("__id")
+    out = lines.select("__file", "__block", "__id", F.get_json_object("value", "$.seq").cast("long").alias("seq"), body.alias("body"), *(v.alias(k) for k, v in hashes.items()))
+    return out.withColumn("position", (F.row_number().over(Window.orderBy("__file", "__block", "__id")) - 1).cast("long")).drop("__file", "__block", "__id")
 
 
 def replay_diff(recorded: DataFrame, replayed: DataFrame, fields: tuple[str, ...] = ("event_id", "decision", "rule", "reason", "op", "txn_version", "user_version")) -> DataFrame:

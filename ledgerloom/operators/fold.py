@@ -27,6 +27,9 @@ VALUE = {"amount": "amount_minor"} | {g: g for g in GROUPS[1:]}
 TYPES = {"amount_minor": "bigint", "currency": "string", "date": "date"} | {g: "string" for g in GROUPS[2:]}
 CONFLICT = "struct<type:string,field:string,event_id:string,winner_event_id:string,detail:string>"
 
+#: What one entry of a log did.
+EFFECT = "struct<blocked:string,lifecycle:array<string>>"
+
 
 def log_entry() -> Column:
     """What the fold needs of an event; natural order is timeline order."""
@@ -40,13 +43,13 @@ def owner(e: Column) -> Column:
     return F.struct(e["authority"].alias("authority"), e["event_ts"].alias("event_ts"), e["rank"].alias("rank"), e["event_id"].alias("event_id"))
 
 
-def _start() -> Column:
+def _start(each: bool = False) -> Column:
     values = [F.lit(None).cast(t).alias(c) for c, t in TYPES.items()]
     owners = [F.lit(None).cast(OWNER).alias(f"{g}_owner") for g in GROUPS]
     return F.struct(
         F.lit(False).alias("exists"), F.lit(False).alias("deleted"), F.lit(False).alias("provisional"), F.lit(None).cast(OWNER).alias("tombstone"), *values, *owners,
         F.lit(None).cast("string").alias("blocked"), F.array().cast("array<string>").alias("lifecycle"), F.array().cast("array<string>").alias("notes"),
-        F.array().cast(f"array<{CONFLICT}>").alias("conflicts"),
+        F.array().cast(f"array<{CONFLICT}>").alias("conflicts"), *([F.array().cast(f"array<{EFFECT}>").alias("each")] if each else []),
     )
 
 
@@ -61,8 +64,8 @@ def _locked(user_key: Column, day: Column, rules: Rules) -> Column:
     return out
 
 
-def _step(acc: Column, e: Column, user_key: Column, focus: Column | None, rules: Rules) -> Column:
-    """One event onto the state. focus: the event whose effects are kept, or None for none."""
+def _step(acc: Column, e: Column, user_key: Column, focus: Column | None, rules: Rules, each: bool = False) -> Column:
+    """One event onto the state. focus: the event whose effects are kept, or None for none; each: keep those of all, in log order."""
     create, update, delete = (e["rank"] == r for r in ACTION_RANK.values())
     me = owner(e)
 
@@ -110,21 +113,22 @@ def _step(acc: Column, e: Column, user_key: Column, focus: Column | None, rules:
                 conflicts.append(F.when(other, said("currency_mismatch", "currency", F.lit(None).cast("string"), F.concat_ws("|", acc["currency"], e["currency"]))))
         refused = F.struct(F.lit("delete_blocked").alias("type"), F.lit("").alias("field"), e["event_id"].alias("event_id"), F.lit(None).cast("string").alias("winner_event_id"), F.lit("locked_period").alias("detail"))
         conflicts.insert(0, F.when(blocked == "delete_blocked_by_dependencies", refused))
+        lifecycle = F.array_compact(F.array(
+            F.when(restored & create, "recreated_after_delete"), F.when(create & acc["provisional"], "provisional_confirmed"), F.when(create & ~exists, "created"),
+            F.when(update & first, "provisional_from_update_before_create"), F.when(restored & update, "restored_by_higher_authority_update"),
+            F.when(delete & opened, "tombstone_before_create"), F.when(delete & ok & ~acc["deleted"], "deleted"),
+        ))
         if focus is None:
             effects = [acc["blocked"].alias("blocked"), acc["lifecycle"].alias("lifecycle"), acc["notes"].alias("notes")]
         else:
             mine = e["event_id"] == focus
-            lifecycle = F.array_compact(F.array(
-                F.when(restored & create, "recreated_after_delete"), F.when(create & acc["provisional"], "provisional_confirmed"), F.when(create & ~exists, "created"),
-                F.when(update & first, "provisional_from_update_before_create"), F.when(restored & update, "restored_by_higher_authority_update"),
-                F.when(delete & opened, "tombstone_before_create"), F.when(delete & ok & ~acc["deleted"], "deleted"),
-            ))
             noted = F.array_compact(F.array(F.when(create & acc["deleted"] & ~beats, "create_outranked_by_delete"), F.when(blocked == "delete_blocked_by_dependencies", "locked_period"), *notes))
             effects = [F.when(mine, blocked).otherwise(acc["blocked"]).alias("blocked"), F.when(mine, lifecycle).otherwise(acc["lifecycle"]).alias("lifecycle"), F.when(mine, noted).otherwise(acc["notes"]).alias("notes")]
         found = F.array_compact(F.array(*conflicts))
         return F.struct(
             made.alias("exists"), deleted.alias("deleted"), provisional.alias("provisional"), tombstone.alias("tombstone"), *fields, *owners, *effects,
             F.when(F.size(found) > 0, F.concat(acc["conflicts"], found)).otherwise(acc["conflicts"]).alias("conflicts"),
+            *([F.concat(acc["each"], F.array(F.struct(blocked.alias("blocked"), lifecycle.alias("lifecycle")))).alias("each")] if each else []),
         )
 
     beats = acc["tombstone"].isNull() | (me > acc["tombstone"])
@@ -138,9 +142,9 @@ def _step(acc: Column, e: Column, user_key: Column, focus: Column | None, rules:
     return let(F.struct(blocked.alias("blocked"), F.coalesce(beats, F.lit(True)).alias("beats")), judged)
 
 
-def fold_log(log: Column, user_key: Column, rules: Rules = DEFAULT, focus: Column | None = None) -> Column:
+def fold_log(log: Column, user_key: Column, rules: Rules = DEFAULT, focus: Column | None = None, each: bool = False) -> Column:
     """The state struct after all entries of a sorted log."""
-    return F.aggregate(log, _start(), lambda acc, e: _step(acc, e, user_key, focus, rules))
+    return F.aggregate(log, _start(each), lambda acc, e: _step(acc, e, user_key, focus, rules, each))
 
 
 def state_columns(state: str = "state", rules: Rules = DEFAULT) -> list[Column]:

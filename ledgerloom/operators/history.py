@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, GROUPS, Rules
+from ..config import ACTION_RANK, DEFAULT, GROUPS, Rules
 from ..functions import money
 from ..functions.text import first_reasons
 from .fold import KEYS, TYPES, VALUE, fold_log, log_entry, state_columns
@@ -21,6 +21,8 @@ from .fold import KEYS, TYPES, VALUE, fold_log, log_entry, state_columns
 #: Fields of a transaction's snapshot, in the order of their names.
 SNAPSHOT = ("account_id", "amount", "amount_minor", "category", "currency", "date", "deleted", "merchant", "parent_transaction_id", "provisional")
 LONGEST = 256
+#: Evidence of a decision: the last so many entries of the log as it was then.
+EVIDENCE = 50
 
 
 def _snapshot() -> Column:
@@ -44,8 +46,31 @@ def needs_order(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGES
     return long.unionByName(guarded).unionByName(children).distinct()
 
 
-def arrivals(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """The state after each event and the effects of the event itself, by the native fold of its prefix."""
+def _evidence() -> Column:
+    """The last EVIDENCE entries of the column log, each with what it asserts and what it did."""
+    state = F.col("state")
+
+    def item(p: Column) -> Column:
+        e, did = p["e"], p["did"]
+        open_ = did["blocked"].isNull()
+        owns = lambda g: F.coalesce(state[f"{g}_owner"]["event_id"] == e["event_id"], F.lit(False))
+        won = F.array_compact(F.array(*(F.when(open_ & owns(g), F.lit(g)) for g in sorted(GROUPS))))
+        lost = F.array_compact(F.array(*(F.when(open_ & ~owns(g) & e[VALUE[g]].isNotNull(), F.lit(g)) for g in sorted(GROUPS))))
+        action = F.element_at(F.array(*map(F.lit, ACTION_RANK)), e["rank"] + 1)
+        return F.struct(
+            e["event_id"].alias("event_id"), action.alias("action"), *(e[c].alias(c) for c in ("source", "authority", "event_ts", "seq", "amount_minor", "currency", "date")),
+            won.alias("won"), lost.alias("lost"), did["blocked"].alias("blocked"), did["lifecycle"].alias("lifecycle"),
+        )
+
+    pairs = F.zip_with("log", state["each"], lambda e, did: F.struct(e.alias("e"), did.alias("did")))
+    return F.transform(F.slice(pairs, F.greatest(F.size("log") - (EVIDENCE - 1), F.lit(1)), EVIDENCE), item)
+
+
+def arrivals(events: DataFrame, rules: Rules = DEFAULT, evidence: bool = False) -> DataFrame:
+    """The state after each event and the effects of the event itself, by the native fold of its prefix.
+
+    evidence: also the entries considered, see ``_evidence``.
+    """
     by_seq = Window.partitionBy(*KEYS).orderBy("seq")
     upto = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     key = F.struct("event_ts", F.element_at(F.create_map(F.lit("create"), F.lit(0), F.lit("update"), F.lit(1), F.lit("delete"), F.lit(2)), F.col("action")).alias("rank"), "event_id")
@@ -55,11 +80,12 @@ def arrivals(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         "display_id": F.first("transaction_id").over(upto),
     })
     df = df.withColumn("log", F.array_sort("log"))
-    df = df.withColumns({"state": fold_log(F.col("log"), F.col("user_key"), rules, F.col("event_id")), "n_events": F.size("log"), "sources": F.array_sort(F.array_distinct(F.transform("log", lambda e: e["source"])))})
+    df = df.withColumns({"state": fold_log(F.col("log"), F.col("user_key"), rules, F.col("event_id"), evidence), "n_events": F.size("log"), "sources": F.array_sort(F.array_distinct(F.transform("log", lambda e: e["source"])))})
     asserted = F.array_compact(F.array(*(F.when(F.col(VALUE[g]).isNotNull(), F.lit(g)) for g in GROUPS))).alias("asserted")
     return df.select(
         "seq", "event_id", "user_id", "user_key", "transaction_key", F.col("display_id").alias("transaction_id"), "action", "source", "authority", "event_ts", "is_late", "n_events", "sources", asserted,
         F.col("state.blocked").alias("blocked"), F.col("state.lifecycle").alias("lifecycle"), F.col("state.notes").alias("notes"), *state_columns(rules=rules),
+        *([_evidence().alias("evidence")] if evidence else []),
     )
 
 
@@ -131,12 +157,12 @@ def labelled(df: DataFrame) -> DataFrame:
     })
 
 
-def history(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGEST) -> DataFrame:
+def history(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGEST, evidence: bool = False) -> DataFrame:
     """One row for each accepted, first-arrived event, with everything the audit says of it."""
     from .sequential import ordered_arrivals
 
     ordered = needs_order(events, rules, longest)
-    native = arrivals(events.join(ordered, list(KEYS), "left_anti"), rules)
+    native = arrivals(events.join(ordered, list(KEYS), "left_anti"), rules, evidence)
     passed = ordered_arrivals(events.join(ordered, list(KEYS), "left_semi"), rules, native.schema)
     return labelled(_with_ownership(_with_diff(native.unionByName(passed))))
 
@@ -146,6 +172,13 @@ def native_history(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return labelled(_with_ownership(_with_diff(arrivals(events, rules))))
 
 
+def changes(decided: DataFrame) -> DataFrame:
+    """(seq, event_id, op, field, was, now): each field that an event moved, with both values as text; null where there was none."""
+    text = lambda side, c: F.col(f"{side}.{c}").cast("string")
+    moved = F.array(*(F.when(~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.struct(F.lit(c).alias("field"), text("before", c).alias("was"), text("after", c).alias("now"))) for c in SNAPSHOT))
+    return decided.select("seq", "event_id", "op", F.explode(F.array_compact(moved)).alias("m")).select("seq", "event_id", "op", "m.*")
+
+
 def final_states(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGEST) -> DataFrame:
     """State columns of each transaction after all arrivals, guards included: ``folded``, or the last row of the ordered pass."""
     from .fold import folded
@@ -160,4 +193,4 @@ def final_states(events: DataFrame, rules: Rules = DEFAULT, longest: int = LONGE
     return plain.unionByName(last.select(*names))
 
 
-__all__ = ["SNAPSHOT", "TYPES", "arrivals", "final_states", "history", "labelled", "native_history", "needs_order"]
+__all__ = ["SNAPSHOT", "TYPES", "arrivals", "changes", "final_states", "history", "labelled", "native_history", "needs_order"]

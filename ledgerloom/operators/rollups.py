@@ -97,6 +97,23 @@ def _row_json() -> F.Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts)), F.lit("}"))
 
 
+def transaction_hashes(states: DataFrame) -> DataFrame:
+    """(keys, state_hash, authority_hash): SHA-256 of a transaction's values, and of its values with the owners of its fields."""
+    n, q = canon.number, canon.quoted
+    owners = []
+    for g in sorted(c for c in states.columns if c.endswith("_owner")):
+        o = F.col(g)
+        text = F.concat_ws(",", q(o["event_id"]), n(o["authority"]), q(dates.format_ts(o["event_ts"])))
+        owners.append(F.when(o.isNotNull(), F.concat(F.lit(f'"{g.removesuffix("_owner")}":['), text, F.lit("]"))))
+    whole = F.concat(_row_json(), F.lit("{"), F.concat_ws(",", *owners), F.lit("}"))
+    return states.select(*KEYS, F.sha2(_row_json(), 256).alias("state_hash"), F.sha2(whole, 256).alias("authority_hash"))
+
+
+def conflicts(states: DataFrame) -> DataFrame:
+    """One row for each conflict of every user, with its transaction."""
+    return states.select(*KEYS, "transaction_id", F.explode("conflicts").alias("c")).select(*KEYS, "transaction_id", "c.*")
+
+
 def state_hashes(states: DataFrame) -> DataFrame:
     """(user_key, n, state_hash): SHA-256 over a user's transactions by display id.
 

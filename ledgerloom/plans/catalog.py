@@ -258,6 +258,11 @@ def currency_mismatch(spark, d):
     return _conflicts(spark, d).where("type = 'currency_mismatch'").select("event_id", "detail")
 
 
+@_query("conflict_list", f"{_CONFLICTS} SELECT ev.user_key, ev.transaction_key, c.type, c.field, c.event_id FROM conflicts c JOIN ev ON ev.event_id = c.event_id")
+def conflict_list(spark, d):
+    return rollups.conflicts(fold.folded(_events(spark, d), OPEN)).select("user_key", "transaction_key", "type", "field", "event_id")
+
+
 # ---- arrivals ----
 
 
@@ -279,6 +284,21 @@ def change_ops(spark, d):
     return _history(spark, d).groupBy("action", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _money_sql(minor: str, currency: str) -> str:
+    return f"CASE {currency} WHEN 'JPY' THEN {minor}::VARCHAR WHEN 'KWD' THEN ({minor} * 0.001::DECIMAL(4,3))::VARCHAR ELSE ({minor} * 0.01::DECIMAL(3,2))::VARCHAR END"
+
+
+_MOVED = ", ".join(f"struct_pack(field := '{f}', was := ({was})::VARCHAR, now := ({now})::VARCHAR)" for f, was, now in (
+    ("amount", _money_sql("b.a", "b.c"), _money_sql("amount_minor", "currency")), ("amount_minor", "b.a", "amount_minor"), ("category", "b.g", "category"), ("currency", "b.c", "currency"), ("date", "b.d", "date"),
+    ("deleted", "b.x", "deleted"), ("merchant", "b.m", "merchant"), ("parent_transaction_id", "b.p", "parent_transaction_id"), ("provisional", "b.v", "provisional"),
+))
+
+
+@_query("state_changes", f"{_PREFIXES}, x AS (SELECT seq, event_id, {_OP} AS op, unnest([{_MOVED}]) AS m FROM h) SELECT seq, event_id, op, m.field AS field, m.was AS was, m.now AS now FROM x WHERE m.was IS DISTINCT FROM m.now")
+def state_changes(spark, d):
+    return history.changes(_history(spark, d))
+
+
 #: What each event did at its arrival: its place in the timeline then, what it owned and what it did not.
 _DECIDED = f"""{_PREFIXES}, mine AS (SELECT t.g, t.n, blocked, t.seq, len(list_filter([t.amount_minor IS NOT NULL, t.date IS NOT NULL, t.category IS NOT NULL, t.merchant IS NOT NULL, t.parent_transaction_id IS NOT NULL], lambda x: x)) AS asserted
   FROM t JOIN life ON t.g = life.g AND t.n = life.n WHERE t.seq = t.at_seq
@@ -398,6 +418,15 @@ def anomaly_contradiction(spark, d):
     return _flag_rows(spark, d, "A_LOW_AUTHORITY_CONTRADICTION")
 
 
+_FLAGS = " UNION ALL ".join(f"SELECT seq, event_id, '{code}' AS code, {severity} AS severity FROM h WHERE {where}" for code, severity, where in _ANOMALIES.values())
+
+
+@_query("anomaly_list", f"{_DECIDED} {_FLAGS} UNION ALL SELECT seq, event_id, 'A_LOW_AUTHORITY_CONTRADICTION', 'low' FROM told WHERE lost > 0 AND won = 0 AND source <> 'user_edit'")
+def anomaly_list(spark, d):
+    h = _history(spark, d)
+    return anomalies.listed(anomalies.flagged(h, OPEN, anomalies.near_duplicates_at(h))).select("seq", "event_id", "code", "severity")
+
+
 # ---- audit ----
 
 

@@ -1,4 +1,5 @@
 import datetime
+import json
 import random
 
 import pytest
@@ -167,6 +168,63 @@ def test_ties_and_currencies(spark):
     assert [(c.type, c.winner_event_id) for c in s.conflicts] == [("authority_tie", "e2"), ("currency_mismatch", None)] and s.currency == "JPY"
 
 
+def test_evidence_by_both_passes(spark):
+    e = events_of(spark, random_rows(21, True)).cache()
+    native = history.arrivals(e, DEFAULT.with_(enforce_delete_dependencies=False), evidence=True)
+    ordered = sequential.ordered_arrivals(e, DEFAULT.with_(enforce_delete_dependencies=False), native.schema)
+    assert native.exceptAll(ordered).count() == 0 == ordered.exceptAll(native).count()
+
+
+def test_evidence_and_changes(spark):
+    e = events_of(spark, [row(1, "create", 5), row(2, "update", 6, source="user_edit", amount="12.50"), row(3, "update", 3, category="a"), row(4, "delete", 7), row(5, "update", 8, source="unknown", category="b")])
+    rows = {r.event_id: r for r in history.history(e, evidence=True).collect()}
+    assert [(x.event_id, x.action, x.won, x.lost, x.blocked, x.lifecycle) for x in rows["e5"].evidence] == [
+        ("e3", "update", ["category"], [], None, ["provisional_from_update_before_create"]), ("e1", "create", ["date"], ["amount"], None, ["provisional_confirmed"]), ("e2", "update", ["amount"], [], None, []),
+        ("e4", "delete", [], [], None, ["deleted"]), ("e5", "update", [], [], "update_after_delete_superseded", []),
+    ]
+    moved = {(r.event_id, r.field): (r.was, r.now) for r in history.changes(history.history(e)).collect()}
+    assert moved["e2", "amount"] == ("10.00", "12.50") and moved["e4", "deleted"] == ("false", "true") and moved["e1", "date"] == (None, "2024-01-05")
+    body = {r.seq: json.loads(r.body) for r in audit.bodies(history.history(e, evidence=True)).collect()}
+    of = {b["event_id"]: b for b in body.values()}
+    assert of["e2"]["state_diff"] == {"op": "updated", "fields": {"amount": {"from": "10.00", "to": "12.50"}, "amount_minor": {"from": 1000, "to": 1250}}}
+    assert of["e2"]["evidence"][-1] == {"event_id": "e2", "action": "update", "source": "user_edit", "authority": 100, "seq": of["e2"]["seq"], "amount": "12.50", "event_ts": "2024-01-06T00:00:00Z", "won": ["amount"]}
+
+
+def test_long_evidence_is_cut(spark):
+    e = events_of(spark, [row(0, "create", 1), *(row(n, "update", 2, category=f"c{n}") for n in range(1, 60))])
+    for longest in (256, 10):
+        last = history.history(e, longest=longest, evidence=True).orderBy(F.desc("seq"))
+        r = last.first()
+        assert len(r.evidence) == 50 and r.n_events == 60
+        items = json.loads(audit.bodies(last.limit(1)).first().body)["evidence"]
+        assert items[0] == {"note": "evidence_truncated", "total_events": 60, "shown": 50} and len(items) == 51
+
+
+def test_appended_trail_goes_on(spark, tmp_path):
+    e, path = Engine(spark), str(tmp_path / "trail")
+    e.append_audit(e.ingest_rows([row(1, "create", 1), row(2, "update", 2, category="a")]), path)
+    head = e.append_audit(e.ingest_rows([row(3, "update", 3, category="b")]), path)
+    (tmp_path / "trail" / "at-9999999999999999999").mkdir()
+    back = audit.read_jsonl(spark, audit.finished_runs(spark, path)).cache()
+    assert back.count() == 4 and audit.first_break(back) is None and audit.head_hash(back) == head
+
+
+def test_listings_and_overview(spark):
+    e = Engine(spark)
+    batch = e.ingest_rows([row(1, "create", 1, amount="1"), row(2, "create", 1, amount="2"), row(3, "create", 2, amount="-300000", currency="JPY")])
+    assert sorted((r.type, r.event_id) for r in e.conflicts().collect()) == [("authority_tie", "e2"), ("currency_mismatch", "e3")]
+    assert {"A_CURRENCY_CHANGE", "A_SIGN_FLIP"} <= {r.code for r in e.anomalies().collect()}
+    said = e.overview()
+    assert said["state_hash"] == e.state_hash() and said["total"]["conflicts"] == 2
+    e.verify(batch.decisions, state_hash=said["state_hash"], head=said["audit_head"])
+    with pytest.raises(ReplayMismatch):
+        e.verify(batch.decisions, state_hash="0")
+    states = e.states()
+    one = rollups.transaction_hashes(states).first()
+    other = rollups.transaction_hashes(states.withColumn("date_owner", F.lit(None).cast(states.schema["date_owner"].dataType))).first()
+    assert one.state_hash == other.state_hash and one.authority_hash != other.authority_hash
+
+
 def test_audit_chain(spark):
     e = Engine(spark)
     e.ingest_rows(random_rows(4, True))
