@@ -530,6 +530,21 @@ def _customers(spark, d) -> DataFrame:
 _CUSTOMERS = """SELECT c_custkey::VARCHAR AS user_id, 'x,"' || c_name || '"\u00e9' AS merchant, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS category FROM customer"""
 
 
+#: Bytes that an upload is meant to have, well under the cap, as rows differ in size.
+_UPLOAD = DEFAULT.max_upload_bytes // 4
+
+
+def _n_uploads(rows: DataFrame) -> int:
+    """How many uploads rows make, by their size as JSON, which no other form exceeds by much; four at least."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)).first()[0] or 0
+    return max(4, -(-size // _UPLOAD))
+
+
+def _uploads(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to as many partitions, so files, as keep each of them under the cap of an upload."""
+    return rows.repartition(_n_uploads(rows))
+
+
 def _read_back(spark, path: str) -> DataFrame:
     rows = normalize.remap_maps(readers.read_files(spark, [path]))
     return rows.select("user_id", "merchant", F.nullif("category", F.lit("")).alias("category"))
@@ -538,7 +553,7 @@ def _read_back(spark, path: str) -> DataFrame:
 @_query("read_csv", _CUSTOMERS)
 def read_csv(spark, d):
     path = shared_path(spark, "csv")
-    _customers(spark, d).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    _uploads(_customers(spark, d)).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     return _read_back(spark, path + "/*.csv")
 
 
