@@ -560,7 +560,7 @@ def read_csv(spark, d):
 @_query("read_jsonl", _CUSTOMERS)
 def read_jsonl(spark, d):
     path = shared_path(spark, "jsonl")
-    rows = _customers(spark, d)
+    rows = _uploads(_customers(spark, d))
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
     return normalize.remap_maps(readers.read_files(spark, [path + "/*.txt"], kind="jsonl")).select("user_id", "merchant", "category")
 
