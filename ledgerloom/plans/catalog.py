@@ -569,7 +569,8 @@ def read_jsonl(spark, d):
 def read_json(spark, d):
     """One wrapped array for each file."""
     path = shared_path(spark, "json")
-    rows = _customers(spark, d).withColumn("part", F.pmod(F.hash("uid"), F.lit(4)))
+    rows = _customers(spark, d)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("uid", "payee", "cat"), F.lit(_n_uploads(rows))))
     arrays = rows.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("uid", "payee", "cat")).alias("rows"))).alias("value"))
     arrays.write.partitionBy("part").text(path)
     return normalize.remap_maps(readers.read_files(spark, [path + "/*/*.txt"], kind="json")).select("user_id", "merchant", "category")

@@ -18,7 +18,7 @@ def wide(spark, tmp_path_factory):
     return place
 
 
-@pytest.mark.parametrize("name", ["read_csv", "read_jsonl"])
+@pytest.mark.parametrize("name", ["read_csv", "read_jsonl", "read_json"])
 def test_uploads_over_the_cap_are_parted(spark, wide, name):
     digest = lambda df: df.select(F.count(F.lit(1)), F.sum(F.octet_length("merchant")), F.sum(F.xxhash64("user_id", "merchant", "category").cast("decimal(38,0)"))).first()
     want = catalog._customers(spark, wide).toDF("user_id", "merchant", "category")
