@@ -24,3 +24,19 @@ def test_uploads_over_the_cap_are_parted(spark, wide, name):
     want = catalog._customers(spark, wide).toDF("user_id", "merchant", "category")
     assert digest(want)[1] > 4 * DEFAULT.max_upload_bytes
     assert digest(catalog.QUERIES[name](spark, wide)) == digest(want)
+
+
+def test_live_children_without_broadcasts(spark):
+    states = catalog._states(spark, SMALL)
+    rows = {(r.user_key, r.transaction_key): r for r in states.collect()}
+    want = {}
+    for r in rows.values():
+        parent = (r.user_key, (r.parent_transaction_id or "").lower())
+        if not r.deleted and parent in rows:
+            want.setdefault(parent, []).append(r.transaction_id)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.user_key, r.transaction_key): (r.n_children, r.children) for r in catalog.QUERIES["live_children"](spark, SMALL).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: (len(v), ",".join(sorted(v)[:20])) for k, v in want.items()} and len(got) > 40
