@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DEFAULT
+from ledgerloom.operators import audit
 from ledgerloom.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +41,26 @@ def test_live_children_without_broadcasts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {k: (len(v), ",".join(sorted(v)[:20])) for k, v in want.items()} and len(got) > 40
+
+
+def test_breaks_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(audit, "STRETCH", 4)
+    body = lambda i: f'{{"seq":{i}}}'
+    rows, head = [], audit.GENESIS
+    for i in range(40):
+        rows.append([i, i, body(i), head, head := audit.chain_hash(head, body(i))])
+    # Altered, sealed anew behind another, gone at and next to the borders of stretches, without a hash, and twice.
+    rows[8][2] += " "
+    rows[15][3] = "f" * 64
+    rows[15][4] = audit.chain_hash(rows[15][3], rows[15][2])
+    rows[35][4] = None
+    chain = [r for i, r in enumerate(rows) if i not in (11, 20, 26)] + [[30, 30, body(30), "e" * 64, audit.chain_hash("e" * 64, body(30))]]
+    df = spark.createDataFrame(chain, "position long, seq long, body string, prev_hash string, record_hash string")
+    got = sorted(tuple(r) for r in audit.breaks(df).collect())
+    p, h = "prev_hash", "record_hash"
+    assert got == [(8, h), (12, p), (15, p), (16, p), (21, p), (27, p), (30, p), (31, p), (36, p)]
+
+
+def test_breaks_make_the_chain_once(spark):
+    plan = catalog.QUERIES["chain_breaks"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
