@@ -51,7 +51,7 @@ FORMAT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Characters of pieces in a generation of those that a worker keeps encoded.
-CACHED_CHARS = 4 << 20
+CACHED_CHARS = 2 << 20
 #: Bytes of texts that are encoded together.
 GROUP_BYTES = 2 << 20
 #: White space other than spaces and line feeds, in the widest sense of any Unicode version.
@@ -224,6 +224,10 @@ def _encoder_batches(path: str, end_id: int):
                 ids, counts = encoder.encode(batch.column(1)[a:b], end_id)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts), lists], ["doc_id", "n_tokens", "tokens"])
+                del ids, counts, lists
+        # Workers outlive their tasks and stay beside those of later stages: what the next task can learn again goes.
+        encoder.before = {}
+        pa.default_memory_pool().release_unused()
 
     return encode
 
