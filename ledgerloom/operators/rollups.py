@@ -164,7 +164,7 @@ def near_duplicates(states: DataFrame) -> DataFrame:
 
 
 def live_children(states: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """(user_key, transaction_key, n_children, children): live transactions that name this one as their parent; the first twenty ids.
+    """(user_key, transaction_key, n_children, children): live transactions that name this one as their parent; all their ids, in order.
 
     Each transaction stands once under its own key and, if live, once under its parent's,
     so that one grouping finds both and the states are folded once, not joined to themselves.
@@ -173,8 +173,8 @@ def live_children(states: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     own = F.struct(F.col("transaction_key"), F.lit(False).alias("is_kid"), F.lit(None).cast("string").alias("child"))
     kid = F.when(~F.col("deleted") & parent.isNotNull(), F.struct(parent.alias("transaction_key"), F.lit(True).alias("is_kid"), F.col("transaction_id").alias("child")))
     rows = states.select("user_key", F.explode(F.array_compact(F.array(own, kid))).alias("r")).select("user_key", "r.*")
-    nth = F.row_number().over(Window.partitionBy("user_key", "transaction_key").orderBy(F.desc("is_kid"), "child"))
-    grouped = rows.withColumn("nth", nth).groupBy("user_key", "transaction_key").agg(
-        F.count_if("is_kid").alias("n_children"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_kid") & (F.col("nth") <= 20), F.col("child")))), ",").alias("children"), F.min("is_kid").alias("__orphans")
+    # A row that stands under its own key has no child, and nulls are not collected.
+    grouped = rows.groupBy("user_key", "transaction_key").agg(
+        F.count_if("is_kid").alias("n_children"), F.array_join(F.sort_array(F.collect_list("child")), ",").alias("children"), F.min("is_kid").alias("__orphans")
     )
     return grouped.where(~F.col("__orphans") & (F.col("n_children") > 0)).drop("__orphans")

@@ -1,10 +1,11 @@
 """Registered queries on more than one upload holds, and plans that small tables do not get."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DEFAULT
-from ledgerloom.operators import audit
+from ledgerloom.operators import audit, rollups
 from ledgerloom.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,6 +44,18 @@ def test_live_children_without_broadcasts(spark):
     assert got == {k: (len(v), ",".join(sorted(v)[:20])) for k, v in want.items()} and len(got) > 40
 
 
+def test_live_children_lists_every_child(spark):
+    """Parents of over a hundred children, against the tail of the SQL over the same states."""
+    rows = [("u", f"t{i}", f"T{i}", None if i < 3 else ("T0", "t1", "T9999")[i % 3], i % 7 == 3) for i in range(400)] + [("v", "t500", "T500", "T0", False)]
+    states = spark.createDataFrame(rows, "user_key string, transaction_key string, transaction_id string, parent_transaction_id string, deleted boolean")
+    got = sorted(tuple(r) for r in rollups.live_children(states, catalog.OPEN).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE state (user_key VARCHAR, transaction_key VARCHAR, transaction_id VARCHAR, parent_transaction_id VARCHAR, deleted BOOLEAN)")
+    con.executemany("INSERT INTO state VALUES (?, ?, ?, ?, ?)", rows)
+    want = sorted(con.execute(catalog.ORACLES["live_children"].removeprefix(catalog._FINAL)).fetchall())
+    assert got == want and [r[2] for r in got] == [len(r[3].split(",")) for r in got] and min(r[2] for r in got) > 100
+
+
 def test_breaks_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(audit, "STRETCH", 4)
     body = lambda i: f'{{"seq":{i}}}'
